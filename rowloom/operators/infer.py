@@ -23,9 +23,10 @@ def infer_types(df: DataFrame, columns: list[str] | None = None, nulls: list[str
     known = df.select([F.when(~F.col(c).isin(*nulls), F.col(c)).alias(c) if nulls and c in texts else F.col(c) for c in df.columns])
     sample = known.select(texts) if limit is None else known.select(texts).limit(limit)
     tests = {"int": lambda c: F.col(c).try_cast("int").isNotNull() & ~F.col(c).contains("."), "bigint": lambda c: F.col(c).try_cast("bigint").isNotNull() & ~F.col(c).contains("."), "double": lambda c: F.col(c).try_cast("double").isNotNull(), "timestamp": lambda c: F.col(c).rlike(_TIMESTAMP), "date": lambda c: F.col(c).rlike(_DATE) | F.col(c).rlike(_TIMESTAMP)}
-    facts = sample.agg(*[F.bool_and(test(c)).alias(f"{i}_{kind}") for i, c in enumerate(texts) for kind, test in tests.items()]).first()
+    facts = sample.agg(*[F.bool_and(F.when(F.col(c).isNotNull(), test(c))).alias(f"{i}_{kind}") for i, c in enumerate(texts) for kind, test in tests.items()]).first()
     chosen = {}
     for i, c in enumerate(texts):
         chosen[c] = next((kind for kind in CANDIDATES if facts[f"{i}_{kind}"]), "string")
     cast = {"timestamp": "timestamp_ntz", "date": "date"}
+    # A column of nulls alone stays text.
     return known.select([F.col(c).cast(cast.get(chosen[c], chosen[c])).alias(c) if c in chosen and chosen[c] != "string" else F.col(c) for c in df.columns])
