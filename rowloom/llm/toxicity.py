@@ -67,8 +67,14 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(self.bias + total / max(n, 1), -50, 50)))
 
 
-def train(sample: list[tuple[bytes, int]], buckets: int = 1 << 16, dims: int = 10, epochs: int = 30, rate: float = 0.3, seed: int = 7) -> ToxicityModel:
-    """Joint training of the table and the softmax by AdaGrad on whole texts, one batch of 64 texts at a time."""
+def train(sample: list[tuple[bytes, int]], buckets: int = 1 << 18, dims: int = 4, epochs: int = 10, rate: float = 1.0, least_texts: int = 8, floor: float = 1e-4, doubt: float = 0.05, seed: int = 7) -> ToxicityModel:
+    """Joint training of the table and the softmax by AdaGrad on whole texts, one batch of 64 texts at a time.
+
+    Squared gradients start at `floor`, so that an entry whose gradient is weak moves less than one that toxic texts share, and
+    labels are taken as right with probability 1 - `doubt`.
+
+    Entries of fewer than `least_texts` texts keep a zero vector: they could only learn the noise of single labels.
+    """
     ones = sum(y for _, y in sample)
     if not sample or not 0 < ones < len(sample):
         return ToxicityModel(None, ones / len(sample) if sample else 0.0)
@@ -79,9 +85,11 @@ def train(sample: list[tuple[bytes, int]], buckets: int = 1 << 16, dims: int = 1
         found = np.concatenate([known[w] for w in words]) if words else np.zeros(0, np.int64)
         index, times = np.unique(found, return_counts=True)
         bags.append((index.astype(np.int32), (times / max(1, times.sum())).astype(np.float32), y))
+    common = np.bincount(np.concatenate([b[0] for b in bags]), minlength=buckets) >= min(least_texts, 1 + len(sample) // 100)
+    bags = [(index[common[index]], share[common[index]], y) for index, share, y in bags]
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 0.1, (buckets, dims)).astype(np.float32)
-    table_sq = np.full(buckets, 1e-8, np.float32)
+    table_sq = np.full(buckets, floor, np.float32)
     soft, bias = rng.normal(0, 0.1, (dims, 2)).astype(np.float32), np.zeros(2, np.float32)
     soft_sq, bias_sq = np.full((dims, 2), 1e-8, np.float32), np.full(2, 1e-8, np.float32)
     for _ in range(epochs):
@@ -97,7 +105,8 @@ def train(sample: list[tuple[bytes, int]], buckets: int = 1 << 16, dims: int = 1
             logits = hidden @ soft + bias
             p = np.exp(logits - logits.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            p[np.arange(len(y)), y] -= 1
+            p -= doubt / 2
+            p[np.arange(len(y)), y] -= 1 - doubt
             g_soft, g_bias, g_hidden = hidden.T @ p, p.sum(0), p @ soft.T
             unique, where = np.unique(index, return_inverse=True)
             spread = np.repeat(np.arange(len(part)), [len(b[0]) for b in part])
@@ -109,7 +118,17 @@ def train(sample: list[tuple[bytes, int]], buckets: int = 1 << 16, dims: int = 1
             soft -= rate * g_soft / np.sqrt(soft_sq)
             bias_sq += g_bias**2
             bias -= rate * g_bias / np.sqrt(bias_sq)
-    return ToxicityModel((table @ (soft[:, 1] - soft[:, 0])).astype(np.float64), float(bias[1] - bias[0]))
+    return ToxicityModel((table @ (soft[:, 1] - soft[:, 0])).astype(np.float64) * common, float(bias[1] - bias[0]))
+
+
+def calibrated(sample: list[tuple[bytes, int]], clean_kept: float = 0.985, toxic_found: float = 0.83, **options) -> ToxicityModel:
+    """Trains on all but every sixth text, and sets the bias by those: as high a part of label 0 as `clean_kept` scores below 0.5, unless fewer of label 1 than `toxic_found` would be above."""
+    model = train([x for i, x in enumerate(sample) if i % 6], **options)
+    kept_back = [(model.score(raw), y) for raw, y in sample[::6]]
+    logit = {label: [np.log(s / (1 - s)) for s, y in kept_back if y == label and 0 < s < 1] for label in (0, 1)}
+    if model.weights is not None and len(logit[1]) >= 20:
+        model.bias -= max(0.0, min(np.quantile(logit[0], clean_kept), np.quantile(logit[1], 1 - toxic_found)))
+    return model
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = 4000, **options) -> ToxicityModel:
@@ -119,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     keyed = held.select("doc_id", "y", F.xxhash64("text").alias("h")).orderBy("h", "doc_id", "y").limit(most_rows)
     chosen = keyed.select("doc_id").distinct()  # most_rows rows at most
     rows_ = held.join(F.broadcast(chosen), "doc_id").select(F.xxhash64("text"), "doc_id", "y", "text").dropDuplicates().collect()
-    return train([(bytes(text), y) for _, _, y, text in sorted(rows_, key=lambda r: r[:3])][:most_rows], **options)
+    return calibrated([(bytes(text), y) for _, _, y, text in sorted(rows_, key=lambda r: r[:3])][:most_rows], **options)
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
