@@ -13,6 +13,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
+from tests_corpus import removed_words
 from tokenizers import Tokenizer
 
 from rowloom.llm import bpe, langid, lzprint, media, mpeg, packing, simhash, substrings, suffixes, toxicity, urlfilters
@@ -50,21 +51,6 @@ def docs():
     return corpus()
 
 
-def removed_words(docs, window):
-    order = sorted((i for i in range(len(docs))), key=lambda i: (docs[i][0] is None, docs[i][0] or 0, (docs[i][1] or "").encode(), i))
-    seen, out = set(), {}
-    for i in order:
-        words = (docs[i][1] or "").encode().split()
-        gone = [False] * len(words)
-        for j in range(len(words) - window + 1):
-            key = tuple(words[j : j + window])
-            if key in seen:
-                gone[j : j + window] = [True] * window
-            seen.add(key)
-        out[i] = (docs[i][0], len(words), sum(gone), b" ".join(w for w, g in zip(words, gone) if not g))
-    return [out[i] for i in range(len(docs))]
-
-
 @pytest.mark.parametrize(("window", "base", "limit"), [(20, 10, 1 << 20), (20, 5, 300), (8, 2, 1)])
 def test_substrings(spark, docs, window, base, limit):
     found = rows(substrings.remove_repeats(frame(spark, docs), window, base, chunk_bytes=limit))
