@@ -73,7 +73,16 @@ def cut(docs: DataFrame, path: str, end_id: int, capacity: int = 1024, id_col: s
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of a sequence, how many such sequences), for counts[length] pieces of each length."""
+    """(lengths of a sequence, how many such sequences), for counts[length] pieces of each length.
+
+    Short pieces are worth more as fillers than combined with each other, so exact combinations are looked for down to
+    several lengths, and the plan with the fewest sequences counts.
+    """
+    down_to = (1, capacity // 2 + 1, 3 * capacity // 4 + 1, 7 * capacity // 8 + 1, 15 * capacity // 16 + 1)
+    return min((_plan(counts, capacity, least) for least in down_to), key=lambda made: sum(times for _, times in made))
+
+
+def _plan(counts: dict[int, int], capacity: int, least: int) -> list[tuple[tuple[int, ...], int]]:
     left = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         left[length] = n
@@ -88,7 +97,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
             made.append((lengths, times))
         return times > 0
 
-    for length in range(capacity, 0, -1):
+    for length in range(capacity, least - 1, -1):
         gap = capacity - length
         if gap == 0:
             consume(length)
