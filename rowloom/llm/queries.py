@@ -109,18 +109,18 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP6_SQL = r"""
-WITH words AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '') AS w FROM documents),
+WITH words AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
 windows AS (
   SELECT doc_id, i, row_number() OVER (PARTITION BY key ORDER BY doc_id, i) AS k
   FROM (SELECT doc_id, i, array_to_string(w[i : i + 19], ' ') AS key
         FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM words))),
-gone AS (SELECT doc_id, list(DISTINCT j) AS js FROM (SELECT doc_id, unnest(range(i, i + 20)) AS j FROM windows WHERE k > 1) GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM windows WHERE k > 1),
+placed AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM words),
 kept AS (
-  SELECT words.doc_id, w, coalesce(len(js), 0) AS n_removed,
-         CASE WHEN js IS NULL THEN w ELSE list_transform(list_sort(list_filter(range(1, len(w) + 1), j -> NOT list_contains(js, j))), j -> w[j]) END AS rest
-  FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed, sha256(array_to_string(rest, ' ')) AS kept_sha256
-FROM kept
+  SELECT p.doc_id, count(*) - count(g.j) AS n_kept, string_agg(CASE WHEN g.j IS NULL THEN word END, ' ' ORDER BY p.j) AS rest
+  FROM placed p LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.j = p.j GROUP BY p.doc_id)
+SELECT words.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n_kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256
+FROM words LEFT JOIN kept ON kept.doc_id = words.doc_id
 """
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash, op3_byte_bpe, op4_mpeg_audio, op5_packing, op6_substring_dedup, op7_url_filters, op8_toxicity, op9_lz_fingerprint, op10_suffix_dedup)}
