@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 from rowloom.llm.common import NULL_ID, rows
 
+#: Leading 48 bits of a key: enough where a key only tells what to look at more closely, and two bytes a key less to send.
+COARSE = np.uint64(0xFFFFFFFFFFFF0000)
 BLOCK_SCHEMA = "chunk long, bucket int, payload binary"
 BLOCK_ARROW = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary())])
 TEXT_SCHEMA = "chunk long, payload binary"

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.llm.common import NULL_ID, batched, checkpoint, input_bytes, texts
-from rowloom.llm.exchange import BLOCK_SCHEMA, TEXT_SCHEMA, answer_earlier, answer_repeated, answered, ask, bucket_bits, chunks, distinct, meet, text_blocks, unpack_texts
+from rowloom.llm.exchange import BLOCK_SCHEMA, COARSE, TEXT_SCHEMA, answer_earlier, answer_repeated, answered, ask, bucket_bits, chunks, distinct, meet, text_blocks, unpack_texts
 
 DEDUPED = "doc_id long, n_words long, n_removed long, kept binary, spans array<struct<start:bigint,end:bigint>>"
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -72,7 +72,7 @@ class Chunk:
         """(positions, keys, distinct keys, first places, recurrence) of the first level without replies, or of the last."""
         at = self.starts(levels[0])
         for level in levels:
-            keys = self.window(level)[at]
+            keys = self.window(level)[at] if level == levels[-1] else self.window(level)[at] & COARSE
             unique, first, again = distinct(keys)
             if level not in replies or level == levels[-1]:
                 return at, keys, unique, first, again
@@ -116,12 +116,12 @@ def _ask_level(levels: list[int], level: int, bits: int):
     return run
 
 
-def _first_level(level: int, bits: int, limit: int, last: bool):
+def _first_level(levels: list[int], bits: int, limit: int):
     def run(batches):
         for chunk_id, ids, held in chunks(batches, limit):
             chunk = Chunk(ids, held)
-            at, _, unique, first, again = chunk.asked([level], {})
-            yield ask(chunk_id, unique, again, bits, chunk.owner[at[first]] if last else None)
+            at, _, unique, first, again = chunk.asked(levels, {})
+            yield ask(chunk_id, unique, again, bits, chunk.owner[at[first]] if len(levels) == 1 else None)
 
     return run
 
@@ -168,7 +168,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, base: int = 10, id_col: st
     for level in levels:
         last = level == levels[-1]
         if known is None:
-            asked = read.mapInArrow(_first_level(level, bits, chunk_bytes, last), BLOCK_SCHEMA)
+            asked = read.mapInArrow(_first_level(levels, bits, chunk_bytes), BLOCK_SCHEMA)
         else:
             asked = meet(states, known, _ask_level(levels, level, bits), BLOCK_SCHEMA)
         replies = asked.groupBy("bucket").applyInArrow(answer_earlier if last else answer_repeated, BLOCK_SCHEMA)

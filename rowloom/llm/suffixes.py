@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.llm.common import batched, checkpoint, input_bytes, texts
-from rowloom.llm.exchange import BLOCK_SCHEMA, TEXT_SCHEMA, answer_repeated, answered, ask, bucket_bits, chunks, distinct, meet, text_blocks, unpack_texts
+from rowloom.llm.exchange import BLOCK_SCHEMA, COARSE, TEXT_SCHEMA, answer_repeated, answered, ask, bucket_bits, chunks, distinct, meet, text_blocks, unpack_texts
 from rowloom.llm.substrings import _SPANS, _by_level, spans_of
 
 DEDUPED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:bigint,end:bigint>>"
@@ -106,7 +106,7 @@ class Chunk:
         """(positions, ranks, distinct ranks, recurrence) of the cover sample."""
         n = self.length - self.v + 1
         at = self._inside(n, self.cover)
-        ranks = names(self.data, at, n)
+        ranks = names(self.data, at, n) & COARSE
         unique, _, again = distinct(ranks)
         return at, ranks, unique, again
 
