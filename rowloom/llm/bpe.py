@@ -16,6 +16,7 @@ import struct
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -23,10 +24,21 @@ from pyspark.sql import functions as F
 
 from rowloom.llm.common import input_bytes, texts
 from rowloom.llm.exchange import BLOCK_ARROW, BLOCK_SCHEMA, TEXT_ARROW, TEXT_SCHEMA, bucket_bits, chunks, meet, pack_planes, unpack_planes
-from rowloom.llm.segments import Memory, pattern, pieces, rank_encoding, rank_table
+from rowloom.llm.segments import pattern, pieces, rank_encoding, rank_table
 
 IDS_SCHEMA = "doc_id long, ids array<int>"
 DECODED_SCHEMA = "doc_id long, ids array<int>, decoded binary"
+#: Marks that form a pre-token of their own at the end of a word.
+_MARKS = frozenset(".,;:!?")
+
+
+def words_of(piece: str, find) -> list[str]:
+    """The pre-tokens of a space and a piece of text, for patterns like the public byte-level one; a word with at most one mark after it needs no search."""
+    if piece.isalpha():
+        return [" " + piece]
+    if piece[-1:] in _MARKS and piece[:-1].isalpha():
+        return [" " + piece[:-1], piece[-1]]
+    return find(" " + piece)
 
 
 class _Explode:
@@ -35,22 +47,42 @@ class _Explode:
     def __init__(self, source: str):
         self.find = pattern(source)
         self.words: dict[str, int] = {}
-        self.known = Memory(self._indexes, most=1 << 62)
+        self.known: dict[str, bytes] = {}
 
-    def _indexes(self, piece: str) -> bytes:
+    def _indexes(self, found: list[str]) -> bytes:
         words = self.words
-        return b"".join(words.setdefault(w, len(words)).to_bytes(4, "little") for w in self.find(piece))
+        return b"".join([words.setdefault(w, len(words)).to_bytes(4, "little") for w in found])
 
     def text(self, raw: bytes | None) -> bytes:
         first, *rest = pieces((raw or b"").decode("utf-8", "replace"))
-        return self._indexes(first) + b"".join(map(self.known.__getitem__, rest))
+        known, find = self.known, self.find
+        for piece in dict.fromkeys(rest):
+            if piece not in known:
+                known[piece] = self._indexes(words_of(piece, find))
+        return self._indexes(find(first)) + b"".join([known[p] for p in rest])
+
+
+def _distinct_words(held: list[bytes | None], source: str) -> list[bytes]:
+    """The distinct pre-tokens of a chunk's texts, without positions."""
+    find = pattern(source)
+    seen: set[str] = set()
+    words: set[str] = set()
+    for raw in held:
+        first, *rest = pieces((raw or b"").decode("utf-8", "replace"))
+        words.update(find(first))
+        new = set(rest) - seen
+        seen |= new
+        for piece in new:
+            words.update(words_of(piece, find))
+    return sorted(w.encode() for w in words)
 
 
-def _in_buckets(words: dict[str, int], bits: int) -> list[tuple[int, list[bytes], list[int]]]:
-    """(bucket, its words in a fixed order, their indexes); a bucket is the leading bits of a word's hash."""
-    keyed = [w.encode() for w in words]
+def _in_buckets(keyed: list[bytes], bits: int) -> list[tuple[int, list[bytes], list[int]]]:
+    """(bucket, its words in order, their indexes); a bucket is the leading bits of a word's hash."""
     bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in keyed), np.uint64, len(keyed)) >> np.uint64(64 - bits)
-    order = np.argsort(bucket, kind="stable")
+    rank = np.empty(len(keyed), np.int64)
+    rank[sorted(range(len(keyed)), key=keyed.__getitem__)] = np.arange(len(keyed))
+    order = np.lexsort((rank, bucket))
     edges = np.flatnonzero(np.diff(bucket[order], prepend=-1)) if len(order) else []
     return [(int(bucket[part[0]]), [keyed[i] for i in part], part.tolist()) for part in np.split(order, edges[1:])] if len(order) else []
 
@@ -58,10 +90,7 @@ def _in_buckets(words: dict[str, int], bits: int) -> list[tuple[int, list[bytes]
 def _word_blocks(source: str, bits: int, limit: int):
     def run(batches):
         for chunk, _, held in chunks(batches, limit):
-            explode = _Explode(source)
-            for raw in held:
-                explode.text(raw)
-            found = _in_buckets(explode.words, bits)
+            found = _in_buckets(_distinct_words(held, source), bits)
             payloads = [zstandard.compress(np.array([len(w) for w in words], "<u4").tobytes() + b"".join(words), 1) for _, words, _ in found]
             payloads = [struct.pack("<q", len(words)) + p for (_, words, _), p in zip(found, payloads, strict=True)]
             yield pa.record_batch([pa.array([chunk] * len(found), pa.int64()), pa.array([b for b, _, _ in found], pa.int32()), pa.array(payloads, pa.binary())], schema=BLOCK_ARROW)
@@ -125,7 +154,7 @@ def _reassemble(bits: int):
             sizes = np.zeros(n_words, np.int64)
             starts = np.zeros(n_words, np.int64)
             tokens, used = [], 0
-            for bucket, _, places in _in_buckets(dict.fromkeys((w.decode() for w in words), 0), bits):
+            for bucket, _, places in _in_buckets(words, bits):
                 if bucket not in answers:
                     raise RuntimeError("a chunk's words were not answered: its documents were read in another order; write the input to a table first")
                 (n_sizes,) = struct.unpack_from("<q", answers[bucket])
@@ -164,11 +193,18 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
 
     def run(batches):
         ranks = rank_table(ranks_path)
-        by_id = dict(zip(ranks.values(), ranks, strict=True))
+        tokens = [b""] * (1 + max(ranks.values(), default=-1))
+        for token, rank in ranks.items():
+            tokens[rank] = token
+        table = pa.array(tokens, pa.large_binary())
         for batch in batches:
-            doc_ids, lists = batch.column(0), batch.column(1)
-            found = [None if ids is None else b"".join(map(by_id.__getitem__, ids.values.to_pylist())) for ids in lists]
-            yield pa.record_batch([doc_ids, lists.cast(pa.list_(pa.int32())), pa.array(found, pa.binary())], schema=schema)
+            lists = batch.column(1).cast(pa.list_(pa.int32()))
+            flat = table.take(lists.flatten())  # the bytes of all tokens, end to end
+            ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+            places = np.frombuffer(flat.buffers()[1], np.int64, len(flat) + 1, 8 * flat.offset) if len(flat) else np.zeros(1, np.int64)
+            whole = pa.Array.from_buffers(pa.large_binary(), len(batch), [None, pa.py_buffer(places[ends].tobytes()), flat.buffers()[2] or pa.py_buffer(b"")])
+            decoded = pc.if_else(lists.is_null(), pa.scalar(None, pa.large_binary()), whole).cast(pa.binary())
+            yield pa.record_batch([batch.column(0), lists, decoded], schema=schema)
 
     return encoded.select("doc_id", "ids").mapInArrow(run, DECODED_SCHEMA)
 
