@@ -5,11 +5,12 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tests_corpus import removed_words
 
-from rowloom.llm import simhash
+from rowloom.llm import minhash, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -75,3 +76,45 @@ def test_rows_without_ids_or_texts(spark, corpus):
     docs = spark.createDataFrame([(None, "a b c d", "en", "s", 7), (None, None, None, None, None), (1, None, "en", "s", 0), (1, None, "en", "s", 0)], SCHEMA)
     assert corpus_pipeline.near_dedup(spark, docs, corpus[0]).count() == 3
     assert corpus_pipeline.substring_dedup(spark, docs, corpus[0]).count() == 4
+
+
+def shingle_set(text):
+    words = (text or "").lower().split()
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def alike(a, b):
+    return a == b or len(a & b) >= 0.8 * len(a | b)
+
+
+def test_near_dedup_takes_edited_copies(spark, corpus):
+    rng = random.Random(12)
+    say = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    texts = [say(rng.choice((6, 40, 200))) for _ in range(40)]
+    for base in [say(200) for _ in range(20)]:  # each copy of the copy before it, so that some classes hold by a chain alone
+        texts.append(base)
+        for edits in (1, 3, 4, 5):
+            base = [*base]
+            for at in rng.sample(range(len(base)), edits):
+                base[at] = f"edit{rng.randrange(10**6)}"
+            texts.append(base)
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    rng.shuffle(docs)
+    docs += [(500, None), (501, " "), (502, "Short text"), (503, "short  TEXT"), (None, "short text"), (None, docs[0][1])]
+    sets = [shingle_set(t) for _, t in docs]
+    group = list(range(len(docs)))
+    pairs = [(i, j) for i in range(len(docs)) for j in range(i) if alike(sets[i], sets[j])]
+    far = [(simhash.fingerprint(docs[i][1].encode()) ^ simhash.fingerprint(docs[j][1].encode())) % 2**64 for i, j in pairs if docs[i][1] and docs[j][1]]
+    assert sum(x.bit_count() > 3 for x in far) >= 20  # what 3 bits of SimHash leave
+    for i, j in pairs:
+        group = [group[j] if g == group[i] else g for g in group]
+    wanted = {min(docs[i][0] for i in range(len(docs)) if group[i] == g and docs[i][0] is not None) for g in set(group)}
+    found = [r.doc_id for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame([(i, t, "en", "s", 0) for i, t in docs], SCHEMA), corpus[0]).collect()]
+    assert sorted(i for i in found if i is not None) == sorted(wanted)
+    assert found.count(None) == 2
+
+
+def test_minhash_forest_is_exact():
+    ints = lambda *spans: np.array([x for a, b in spans for x in range(a, b)], np.uint64)
+    sets = [ints((0, 9)), ints((1, 10)), ints((0, 9), (20, 21)), ints((0, 8), (30, 31)), ints((100, 109)), ints((100, 107), (120, 122))]
+    assert {frozenset(x) for x in minhash.forest(sets, (4, 5))} == {frozenset(x) for x in [(0, 1), (0, 2), (0, 3)]}
