@@ -1,6 +1,7 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax, both trained together in numpy.
 
-A word has a vector for itself and one for each of its character n-grams (3 to 5, with word ends marked), all in one
+A word, which is what stands between white space, its punctuation left out, has a vector for itself and one for each of its
+character n-grams (3 to 5, with word ends marked, over its whole length, so that text without spaces is read to its end), all in one
 hashed table; a text's vector is the average over all of its words' entries, and a softmax over two classes reads it.
 A misspelling that was never seen shares most n-grams with the word it is made from. Since everything after the table is
 linear, a trained model scores a word once: its entries' sum along the difference of the two classes.
@@ -37,7 +38,7 @@ def entries(word: str, buckets: int) -> list[int]:
     bare = _EDGES.sub("", word.lower())
     if not bare:
         return []
-    marked = f"<{bare[:40]}>"
+    marked = f"<{bare}>"
     grams = [bare, *(marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1))]
     return [xxhash.xxh3_64_intdigest(g) % buckets for g in grams]
 

@@ -233,6 +233,20 @@ def test_toxicity(spark):
     assert rows(toxicity.score(frame(spark, asked[:1]), none)) == [(1000, 0.0, 0)]
 
 
+def test_toxicity_reads_words_of_any_length():
+    rng = random.Random(14)
+    mild = [f"w{i}" for i in range(200)]
+    say = lambda bad: [rng.choice(["idiotic", "worthless", "disgusting"]) if bad and rng.random() < 0.2 else rng.choice(mild) for _ in range(80)]
+    model = toxicity.train([(" ".join(say(i % 2)).encode(), i % 2) for i in range(400)])
+    long = "".join(rng.choice(mild) for _ in range(30))
+    clean, toxic = (model.score((long + tail).encode()) for tail in ("w1w2w3w4w5w6w7", "worthlessidioticdisgusting"))
+    assert toxic > clean + 0.05
+    for word in (long, "語" * 30 + "馬鹿野郎" + "文" * 30, ".".join(mild[:40])):
+        bare = word.replace(".", "")
+        grams = {f"<{bare}>"[i : i + n] for n in (3, 4, 5) for i in range(len(bare) + 3 - n)} | {bare}
+        assert set(toxicity.entries(word, 1 << 60)) == {xxhash.xxh3_64_intdigest(g) % (1 << 60) for g in grams}
+
+
 def test_mpeg_round_trip_and_damage():
     rng = random.Random(6)
     for n in (0, 1, 63, 64, 1400, 1417, 1418, 9000):
