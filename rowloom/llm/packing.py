@@ -12,6 +12,8 @@ places of their own; ties are broken by id, piece and checksum; an empty table g
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from functools import lru_cache
 
@@ -30,8 +32,6 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa
 @lru_cache(maxsize=2)
 def _byte_encoder(path: str):
     """text -> little-endian 32-bit ids, as the `tokenizers` file says; its byte-level vocabulary is merged in the order of ids."""
-    import json
-
     import tiktoken
     from tokenizers.pre_tokenizers import ByteLevel
 
@@ -49,8 +49,29 @@ def _byte_encoder(path: str):
     return pack, Memory(pack)
 
 
+@lru_cache(maxsize=2)
+def _added(path: str) -> tuple[re.Pattern | None, dict[str, bytes]]:
+    """(a pattern of the file's added tokens, the id of each); where one begins another, the longer one counts."""
+    with open(path) as f:
+        found = json.load(f)["added_tokens"]
+    if odd := [t["content"] for t in found if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]]:
+        raise ValueError(f"added tokens that take more than their own letters: {odd}")
+    ids = {t["content"]: int(t["id"]).to_bytes(4, "little") for t in found}
+    return (re.compile("|".join(map(re.escape, sorted(ids, key=len, reverse=True)))) if ids else None), ids
+
+
+def ids_of(raw: bytes | None, path: str) -> bytes:
+    """The ids of a whole text, in which the added tokens of the file have their own ids, as little-endian 32-bit values."""
+    pattern, ids = _added(path)
+    text = (raw or b"").decode("utf-8", "replace")
+    if not pattern or not pattern.search(text):
+        return tokens(raw, path)
+    between, found = pattern.split(text), [*map(ids.__getitem__, pattern.findall(text)), b""]
+    return b"".join((tokens(part.encode(), path) if part else b"") + own for part, own in zip(between, found, strict=True))
+
+
 def tokens(raw: bytes | None, path: str) -> bytes:
-    """The ids of a whole text as little-endian 32-bit values."""
+    """The ids of a text without added tokens as little-endian 32-bit values; `ids_of` looks for those first."""
     pack, known = _byte_encoder(path)
     first, *rest = pieces((raw or b"").decode("utf-8", "replace"))
     return pack(first) + b"".join(map(known.__getitem__, rest))
@@ -62,7 +83,7 @@ def cut(docs: DataFrame, path: str, end_id: int, capacity: int = 1024, id_col: s
 
     def cutting(batches):
         for doc_id, raw in rows(batches):
-            ids = tokens(raw, path) + end
+            ids = ids_of(raw, path) + end
             n = len(ids) // 4
             edges = [0, *range(n % capacity or capacity, n + 1, capacity)]
             for piece, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):

@@ -103,6 +103,18 @@ def test_packed_tokens_are_those_of_the_file(docs):
         assert np.frombuffer(packing.tokens((t or "").encode(), path), "<u4").tolist() == own.encode(t or "", add_special_tokens=False).ids
 
 
+def test_packed_ids_are_those_of_the_library_as_it_is(spark, docs):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own = Tokenizer.from_file(path)
+    mark = "<|endoftext|>"
+    asked = docs + [(900, f"a {mark} b"), (901, mark), (902, f"{mark}{mark}\n"), (903, f"x  {mark}  y\n{mark} z "), (904, f"é{mark[:-1]} {mark}語")]
+    for _, t in asked:
+        assert np.frombuffer(packing.ids_of((t or "").encode(), path), "<u4").tolist() == own.encode(t or "", add_special_tokens=False).ids
+    wanted = {i: np.array([*own.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes() for i, t in asked[-5:]}
+    found = rows(packing.pack(frame(spark, asked[-5:]), path, 2, 1024, with_ids=True))
+    assert {r[0]: (r[2], r[3], r[4], bytes(r[5])) for r in found} == {i: (0, len(wanted[i]) // 4, zlib.crc32(wanted[i]), wanted[i]) for i, _ in asked[-5:]}
+
+
 @pytest.mark.parametrize("capacity", [1024, 50])
 def test_packing(spark, docs, capacity):
     path = public_tokenizers.path("byte_bpe_50k.json")
