@@ -155,25 +155,31 @@ def _trusted(last: Header | None, h: Header, frame: bytes) -> bool:
 
 
 def read(data: bytes | None) -> Stream:
-    """Parse a stream; unknown bytes are skipped to the next header that the one after it confirms."""
+    """Parse a stream; unknown bytes are skipped to the next header that the one after it confirms.
+
+    The letters TAG 128 bytes before the end begin a tag only where no frame covers them.
+    """
     out, at, data = Stream(), 0, data or b""
     end = len(data)
-    if end >= 128 and data[-128:-125] == b"TAG":
-        end -= 128
-        out.tags["TIT2"] = data[end + 3 : end + 33].decode("latin-1").rstrip("\0 ")
+    closing = end - 128 if end >= 128 and data[-128:-125] == b"TAG" else end
     last = None
     while at < end:
+        if at == closing:
+            out.tags.setdefault("TIT2", data[at + 3 : at + 33].decode("latin-1").rstrip("\0 "))
+            break
         if data[at : at + 3] == b"ID3" and at + 10 <= end:
             at, found = _id3v2(data, at)
             out.tags |= found
             continue
         h = header(data[at : at + 4])
         after = at + h.size if h else 0
-        if not h or after > end or not (after == end or _agree(h, header(data[after : after + 4])) or _trusted(last, h, data[at:after])):
+        limit = closing if at < closing else end
+        across = at < closing < after  # a frame over the letters TAG is one only if the stream says so, not if it's like the one before it
+        if not h or after > end or not (after in (closing, end) or _agree(h, header(data[after : after + 4])) or not across and _trusted(last, h, data[at:after])):
             last = None
-            step = data.find(b"\xff", at + 1, end)
-            tag = data.find(b"ID3", at + 1, end if step < 0 else step)
-            step = tag if tag >= 0 else step if step >= 0 else end
+            step = data.find(b"\xff", at + 1, limit)
+            tag = data.find(b"ID3", at + 1, limit if step < 0 else step)
+            step = tag if tag >= 0 else step if step >= 0 else limit
             out.lost += step - at
             at = step
             continue

@@ -288,6 +288,23 @@ def test_mpeg_round_trip_and_damage():
     assert mpeg.header(bytes((0xFF, 0xFB, 0x90, 0x00))).size == 417
 
 
+def test_mpeg_keeps_payloads_with_the_letters_of_a_tag():
+    tag = b"TAG" + b"name".ljust(125, b"\0")
+    for n in (64, 128, 1408, 1472, 3008):
+        for k in range(3, min(n, 400) + 1):
+            payload = b"S" * (n - k) + b"TAG" + b"E" * (k - 3)
+            stored = mpeg.write(payload)
+            for stream in (stored, stored + tag):
+                s = mpeg.read(stream)
+                assert mpeg.carried(s) == payload
+                assert len(mpeg.carried(s)) == int(s.tags["TIT2"])
+                assert (s.wrong, s.lost, len(s.offsets)) == (0, 0, s.table["frames"])
+    cut = mpeg.read(stored[:-40] + tag)  # a last frame that is cut before a real tag
+    assert len(cut.offsets) == cut.table["frames"] - 1
+    assert cut.lost > 0
+    assert mpeg.read(b"no audio" + tag).tags == {"TIT2": "name"}
+
+
 def test_media(spark, docs):
     found = rows(media.describe(media.store(frame(spark, docs))))
     wanted = []
