@@ -118,3 +118,10 @@ def test_minhash_forest_is_exact():
     ints = lambda *spans: np.array([x for a, b in spans for x in range(a, b)], np.uint64)
     sets = [ints((0, 9)), ints((1, 10)), ints((0, 9), (20, 21)), ints((0, 8), (30, 31)), ints((100, 109)), ints((100, 107), (120, 122))]
     assert {frozenset(x) for x in minhash.forest(sets, (4, 5))} == {frozenset(x) for x in [(0, 1), (0, 2), (0, 3)]}
+
+
+def test_near_dedup_tells_rows_of_one_id_apart(spark, corpus):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    docs = [(1, a), (2, b), (2, a), (2, c), (3, c), (3, "own words here")]
+    found = corpus_pipeline.near_dedup(spark, spark.createDataFrame([(i, t, "en", "s", 0) for i, t in docs], SCHEMA), corpus[0]).collect()
+    assert sorted((r.doc_id, r.text) for r in found) == sorted([(1, a), (2, b), (2, c), (3, "own words here")])
