@@ -74,19 +74,35 @@ class LanguageModel:
         return lang, 1 - best / second, second < best * (1 + self.margin)
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 400, shortest: int = 200, longest: int = 8192, dictionary_bytes: int = 1 << 16, **options) -> LanguageModel:
-    """Learns from rows whose text and language aren't null; languages whose texts are all short or long learn from those."""
+def fit(
+    labelled: DataFrame,
+    text_col: str = "text",
+    lang_col: str = "lang",
+    per_language: int = 400,
+    shortest: int = 200,
+    longest: int = 8192,
+    dictionary_bytes: int = 1 << 16,
+    most_languages: int = 500,
+    salts: int = 256,
+    **options,
+) -> LanguageModel:
+    """Learns from rows whose text and language aren't null; languages whose texts are all short or long learn from those.
+
+    The `most_languages` languages with the most rows are learned. The first texts of a language are found among those of
+    each of its `salts` parts, so no task ranks more than a part, or `salts` * `per_language` rows.
+    """
     held = labelled.select(labelled[text_col].cast("string").alias("text"), labelled[lang_col].cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    size = F.length("text")
-    rank = F.struct((~size.between(shortest, longest)).alias("odd"), F.xxhash64("text").alias("h"))
-    each = held.select("lang", rank.alias("rank")).groupBy("lang", "rank").agg(F.count(F.lit(1)).alias("n"))
-    first = each.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("rank"))).where(F.col("k") <= per_language)
-    chosen = first.select("lang", F.col("rank.h").alias("h"))  # per_language rows a language
+    counted = held.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages)
+    many = {lang: n for lang, n in counted.collect()}  # most_languages rows
+    rank = F.struct((~F.length("text").between(shortest, longest)).alias("odd"), F.xxhash64("text").alias("h"))
+    each = held.where(F.col("lang").isin(*many)).select("lang", rank.alias("rank")).distinct().withColumn("part", F.pmod("rank.h", F.lit(salts)))
+    for group in (["lang", "part"], ["lang"]):
+        each = each.withColumn("k", F.row_number().over(Window.partitionBy(*group).orderBy("rank"))).where(F.col("k") <= per_language).drop("k")
+    chosen = each.select("lang", F.col("rank.h").alias("h"))  # per_language rows for each of most_languages
     found = held.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text"))
     sample: dict[str, list[tuple[int, str]]] = {}
     for lang, h, text in found.select("lang", "h", F.substring("text", 1, dictionary_bytes)).collect():
         sample.setdefault(lang, []).append((h, text))
-    many = {lang: n for lang, n in held.groupBy("lang").count().collect()}
     content = {}
     for lang in sorted(sample, key=lambda x: (-many[x], x)):
         joined = b" ".join(letters(t.encode()) for _, t in sorted(sample[lang]))
