@@ -106,18 +106,26 @@ def _sync_safe(four: bytes) -> int:
 
 
 def _id3v2(data: bytes, at: int) -> tuple[int, dict[str, str]]:
-    """(where the tag ends, its text frames)."""
+    """(where the tag ends, its text frames); names of version 2.2 have three letters, and TT2 counts as TIT2."""
     major, flags, size = data[at + 3], data[at + 5], _sync_safe(data[at + 6 : at + 10])
-    end, p, found = min(len(data), at + 10 + size), at + 10, {}
-    if flags & 0x40 and p + 4 <= end:
-        p += _sync_safe(data[p : p + 4]) if major == 4 else 4 + int.from_bytes(data[p : p + 4], "big")
-    while major >= 3 and p + 10 <= end and data[p]:
-        name, length = data[p : p + 4].decode("latin-1"), _sync_safe(data[p + 4 : p + 8]) if major == 4 else int.from_bytes(data[p + 4 : p + 8], "big")
-        body = data[p + 10 : min(end, p + 10 + length)]
-        if name[0] == "T" and body:
-            found[name] = body[1:].decode(("latin-1", "utf-16", "utf-16-be", "utf-8")[min(body[0], 3)], "replace").strip("\0")
-        p += 10 + length
-    return end + 10 * bool(flags & 0x10), found
+    end, p, found = min(len(data), at + 10 + size), 0, {}
+    body = data[at + 10 : end]
+    if flags & 0x80 and major < 4:  # unsynchronised as a whole
+        body = body.replace(b"\xff\x00", b"\xff")
+    if flags & 0x40 and major > 2 and len(body) >= 4:
+        p += _sync_safe(body[:4]) if major == 4 else 4 + int.from_bytes(body[:4], "big")
+    letters = 3 if major == 2 else 4
+    head = 2 * letters if major == 2 else 10
+    while p + head <= len(body) and body[p]:
+        name, four = body[p : p + letters].decode("latin-1"), body[p + letters : p + 2 * letters]
+        length = _sync_safe(four) if major == 4 else int.from_bytes(four, "big")
+        text = body[p + head : p + head + length]
+        if major == 4 and body[p + 9] & 2:  # unsynchronised by itself
+            text = text.replace(b"\xff\x00", b"\xff")
+        if name[0] == "T" and text:
+            found["TIT2" if name == "TT2" else name] = text[1:].decode(("latin-1", "utf-16", "utf-16-be", "utf-8")[min(text[0], 3)], "replace").strip("\0")
+        p += head + length
+    return end + 10 * bool(flags & 0x10 and major == 4), found
 
 
 def _vbr_table(frame: bytes, h: Header) -> dict | None:
@@ -185,7 +193,7 @@ def read(data: bytes | None) -> Stream:
             continue
         frame = data[at:after]
         last = h
-        if h.protected:
+        if h.protected and h.layer == 3:  # what layers I and II cover isn't decoded here
             out.checked += 1
             out.wrong += not _checks(h, frame)
         out.rate = out.rate or h.rate
@@ -242,5 +250,6 @@ def write(payload: bytes) -> bytes:
 
 
 def carried(stream: Stream) -> bytes:
-    """The payload of a stream made by `write`."""
-    return b"".join(stream.ancillary)[: int(stream.tags.get("TIT2") or 0)]
+    """The payload of a stream made by `write`; empty for audio whose title tag is no length."""
+    title = stream.tags.get("TIT2", "")
+    return b"".join(stream.ancillary)[: int(title)] if title.isascii() and title.isdigit() else b""
