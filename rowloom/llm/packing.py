@@ -4,7 +4,7 @@ A plan needs the number of pieces of each length only, so it is made on a histog
 the corpus' size. Long to short, the gap that a length leaves is looked up among single lengths, then sums of pairs, then of
 triples, and combinations that fill it exactly are consumed as often as the counts allow. What is left is packed best-fit
 decreasing. Pieces then find their places by their rank among the pieces of their length. Ranks are counted in salted
-groups, so a length that a third of all pieces share is ranked by many tasks.
+groups whose number grows with the count, so a length that a third of all pieces share is ranked by many tasks.
 
 Defined results: a null text counts as empty (it has the end token alone); a null id stays null; repeated rows each get
 places of their own; ties are broken by id, piece and checksum; an empty table gives an empty table.
@@ -158,12 +158,17 @@ def _plan(counts: dict[int, int], capacity: int, least: int) -> list[tuple[tuple
     return made + [(lengths, times) for _, group in sorted(open_bins.items()) for lengths, times in group]
 
 
-def place(cut_pieces: DataFrame, capacity: int = 1024, salts: int = 64) -> DataFrame:
-    """Adds sequence_id and offset to pieces (doc_id, piece, length, ids_crc32 and any other columns)."""
+def place(cut_pieces: DataFrame, capacity: int = 1024, each: int = 1 << 20) -> DataFrame:
+    """Adds sequence_id and offset to pieces (doc_id, piece, length, ids_crc32 and any other columns).
+
+    Pieces of a length are ranked in parts of about `each` pieces, so no task grows with the corpus.
+    """
     spark = cut_pieces.sparkSession
-    held = cut_pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
-    groups = held.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
-    counted = groups.collect()  # at most capacity * salts rows
+    by_length = cut_pieces.groupBy("length").agg(F.count(F.lit(1)).alias("_n")).collect()  # at most capacity rows
+    parts = spark.createDataFrame([(length, 1 + n // each) for length, n in by_length], "length long, _parts long")
+    salted = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("_parts")).cast("int")
+    held = cut_pieces.join(F.broadcast(parts), "length").withColumn("_salt", salted).drop("_parts")
+    counted = held.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n")).collect()  # at most capacity rows and one for `each` pieces
     counts: dict[int, int] = {}
     bases = []
     for length, salt, n in sorted(map(tuple, counted)):
@@ -180,7 +185,7 @@ def place(cut_pieces: DataFrame, capacity: int = 1024, salts: int = 64) -> DataF
     base = spark.createDataFrame(bases, "length long, _salt int, _base long")
     slot = spark.createDataFrame(slots, "length long, _from long, _to long, _sequence long, offset long")
     within = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = held.withColumn("_row", F.row_number().over(within)).join(F.broadcast(base), ["length", "_salt"])  # capacity * salts rows at most
+    ranked = held.withColumn("_row", F.row_number().over(within)).join(F.broadcast(base), ["length", "_salt"])  # as many rows as were counted
     ranked = ranked.withColumn("_rank", F.col("_base") + F.col("_row") - 1)
     # Each combination of the plan uses a length or a kind of open sequence up: a few thousand slots at a capacity of 1024.
     placed = ranked.join(F.broadcast(slot), (ranked["length"] == slot["length"]) & (ranked["_rank"] >= slot["_from"]) & (ranked["_rank"] < slot["_to"]))
