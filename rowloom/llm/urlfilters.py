@@ -15,23 +15,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]+)"
+HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[0-9A-Fa-f:.]+\]|[^/:?#\[\]]+)"
+ADDRESS = r"^(\[.*\]|[0-9]{1,3}(\.[0-9]{1,3}){3})$"
 
 
 def host_of(url: Column) -> Column:
-    """The lower-cased host of a URL, or null."""
-    return F.nullif(F.lower(F.regexp_extract(url, HOST, 1)), F.lit(""))
+    """The lower-cased host of a URL without a final dot, or null; an IPv6 address keeps its brackets."""
+    return F.nullif(F.regexp_replace(F.lower(F.regexp_extract(url, HOST, 1)), r"\.$", ""), F.lit(""))
 
 
 def domains_of(host: Column) -> Column:
-    """The host and its parent domains, two labels at least (a host of one label is its own)."""
+    """The host and its parent domains, two labels at least (a host of one label is its own); an address has no parents."""
     parts = F.split(host, r"\.")
+    return F.when(host.rlike(ADDRESS), F.array(host)).otherwise(_parents(parts))
+
+
+def _parents(parts: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(parts) - 1)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
 
 
 def validity(entries: DataFrame) -> DataFrame:
     """(domain, status, valid_from, valid_to): valid_to is the day of the domain's next entry, or null."""
-    days = entries.where("domain IS NOT NULL AND listed_on IS NOT NULL").groupBy(F.lower("domain").alias("domain"), F.col("listed_on").alias("valid_from"))
+    days = entries.where("domain IS NOT NULL AND listed_on IS NOT NULL").groupBy(F.regexp_replace(F.lower("domain"), r"\.$", "").alias("domain"), F.col("listed_on").alias("valid_from"))
     days = days.agg(F.max(F.col("status") == "block").alias("blocks"))
     following = F.lead("valid_from").over(Window.partitionBy("domain").orderBy("valid_from"))
     return days.select("domain", F.when(F.col("blocks"), "block").otherwise("allow").alias("status"), "valid_from", following.alias("valid_to"))
