@@ -24,9 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import NULL_ID, batched, rows, texts
+from rowloom.llm.common import NULL_ID, batched, input_bytes, rows, texts
 
 BINS = 64
+RANGE_BYTES = 8 << 20
 _MASK = (1 << 45) - 1
 _FACTOR = 16807  # below 2 ** 15, so that a product stays below 2 ** 60
 FINGERPRINTED = "doc_id long, fingerprint string"
@@ -103,7 +104,7 @@ def in_ranges(docs: DataFrame, ranges: int, id_col: str = "doc_id", text_col: st
     """(range, key, guard, doc_id, text): rows sorted by (range, guard, key, text) in their partitions; a guard is the first row of the next range."""
     spark = docs.sparkSession
     read = texts(docs, id_col, text_col).withColumn("key", F.coalesce("doc_id", F.lit(NULL_ID)))
-    splits = sorted(set(read.select(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0] or [])) if ranges > 1 else []
+    splits = sorted(set(read.select(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], min(100 * ranges, 200_000))).first()[0] or [])) if ranges > 1 else []
     bounds = np.array(splits, np.int64)
 
     @F.pandas_udf("int")
@@ -119,7 +120,8 @@ def in_ranges(docs: DataFrame, ranges: int, id_col: str = "doc_id", text_col: st
     extra = ranged.withColumnRenamed("range", "of").join(F.broadcast(guards), ["key", "of"])
     extra = extra.groupBy("of", "range", "key").agg(F.min_by("doc_id", F.coalesce("text", F.lit(b""))).alias("doc_id"), F.min(F.coalesce("text", F.lit(b""))).alias("text"))
     both = ranged.select("range", "key", F.lit(0).alias("guard"), "doc_id", "text").unionByName(extra.select("range", "key", F.lit(1).alias("guard"), "doc_id", "text"))
-    return both.repartition(max(1, len(held)), "range").sortWithinPartitions("range", "guard", "key", F.coalesce("text", F.lit(b"")))
+    # More partitions than ranges, so that few tasks get several.
+    return both.repartition(max(1, 3 * len(held)), "range").sortWithinPartitions("range", "guard", "key", F.coalesce("text", F.lit(b"")))
 
 
 def _compare(batches):
@@ -150,5 +152,5 @@ def _compared(batches):
 
 def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
     """Each document against its edited text (the last quarter replaced by the beginning of the next document) and the next document."""
-    n = ranges or max(4, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = ranges or max(4, min(4_000, input_bytes(docs, text_col) // RANGE_BYTES))  # how finely the work is cut, not what comes out
     return in_ranges(docs, n, id_col, text_col).mapInArrow(lambda batches: batched(_compared(batches), _COMPARED), COMPARED)
