@@ -6,7 +6,8 @@ hashed table; a text's vector is the average over all of its words' entries, and
 A misspelling that was never seen shares most n-grams with the word it is made from. Since everything after the table is
 linear, a trained model scores a word once: its entries' sum along the difference of the two classes.
 
-The model is fitted on a bounded sample: `most_rows` labelled texts with the smallest hashes. Scoring covers whole texts.
+The model is fitted on a bounded sample: `most_rows` labels whose ids have the smallest hashes, of texts of at most `longest` bytes.
+Scoring covers whole texts.
 
 Defined results: null and empty texts and texts without a word get the score that the bias alone gives; without two
 classes among the labels every score is the share of label 1 (0 if there are no labels); rows with a null id are
@@ -68,13 +69,13 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(self.bias + total / max(n, 1), -50, 50)))
 
 
-def train(sample: list[tuple[bytes, int]], buckets: int = 1 << 18, dims: int = 4, epochs: int = 10, rate: float = 1.0, least_texts: int = 8, floor: float = 1e-4, doubt: float = 0.05, seed: int = 7) -> ToxicityModel:
+def train(sample: list[tuple[bytes, int]], buckets: int = 1 << 18, dims: int = 4, epochs: int = 10, rate: float = 1.0, rare: int = 600, floor: float = 1e-4, doubt: float = 0.05, seed: int = 7) -> ToxicityModel:
     """Joint training of the table and the softmax by AdaGrad on whole texts, one batch of 64 texts at a time.
 
     Squared gradients start at `floor`, so that an entry whose gradient is weak moves less than one that toxic texts share, and
     labels are taken as right with probability 1 - `doubt`.
 
-    Entries of fewer than `least_texts` texts keep a zero vector: they could only learn the noise of single labels.
+    Entries of fewer than 2 + n // `rare` of n texts keep a zero vector: they could only learn the noise of single labels.
     """
     ones = sum(y for _, y in sample)
     if not sample or not 0 < ones < len(sample):
@@ -86,11 +87,13 @@ def train(sample: list[tuple[bytes, int]], buckets: int = 1 << 18, dims: int = 4
         found = np.concatenate([known[w] for w in words]) if words else np.zeros(0, np.int64)
         index, times = np.unique(found, return_counts=True)
         bags.append((index.astype(np.int32), (times / max(1, times.sum())).astype(np.float32), y))
-    common = np.bincount(np.concatenate([b[0] for b in bags]), minlength=buckets) >= min(least_texts, 1 + len(sample) // 100)
-    bags = [(index[common[index]], share[common[index]], y) for index, share, y in bags]
+    common = np.bincount(np.concatenate([b[0] for b in bags]), minlength=buckets) >= 2 + len(sample) // rare
+    dense = np.cumsum(common) - 1  # entries that are learned, numbered without gaps
+    bags = [(dense[index[common[index]]], share[common[index]], y) for index, share, y in bags]
     rng = np.random.default_rng(seed)
-    table = rng.normal(0, 0.1, (buckets, dims)).astype(np.float32)
-    table_sq = np.full(buckets, floor, np.float32)
+    learned = int(common.sum())
+    table = rng.normal(0, 0.1, (learned, dims)).astype(np.float32)
+    table_sq = np.full(learned, floor, np.float32)
     soft, bias = rng.normal(0, 0.1, (dims, 2)).astype(np.float32), np.zeros(2, np.float32)
     soft_sq, bias_sq = np.full((dims, 2), 1e-8, np.float32), np.full(2, 1e-8, np.float32)
     for _ in range(epochs):
@@ -109,37 +112,48 @@ def train(sample: list[tuple[bytes, int]], buckets: int = 1 << 18, dims: int = 4
             p -= doubt / 2
             p[np.arange(len(y)), y] -= 1 - doubt
             g_soft, g_bias, g_hidden = hidden.T @ p, p.sum(0), p @ soft.T
-            unique, where = np.unique(index, return_inverse=True)
-            spread = np.repeat(np.arange(len(part)), [len(b[0]) for b in part])
-            each = g_hidden[spread] * share[:, None]
-            grad = np.stack([np.bincount(where, each[:, d], len(unique)) for d in range(dims)], 1).astype(np.float32)
-            table_sq[unique] += (grad**2).mean(1)
-            table[unique] -= rate * grad / np.sqrt(table_sq[unique])[:, None]
+            each = np.repeat(g_hidden, [len(b[0]) for b in part], axis=0) * share[:, None]
+            grad = np.stack([np.bincount(index, each[:, d], learned) for d in range(dims)], 1).astype(np.float32)
+            table_sq += (grad**2).mean(1)
+            table -= rate * grad / np.sqrt(table_sq)[:, None]  # entries that the batch lacks have no gradient
             soft_sq += g_soft**2
             soft -= rate * g_soft / np.sqrt(soft_sq)
             bias_sq += g_bias**2
             bias -= rate * g_bias / np.sqrt(bias_sq)
-    return ToxicityModel((table @ (soft[:, 1] - soft[:, 0])).astype(np.float64) * common, float(bias[1] - bias[0]))
+    weights = np.zeros(buckets)
+    weights[common] = table @ (soft[:, 1] - soft[:, 0])
+    return ToxicityModel(weights, float(bias[1] - bias[0]))
 
 
 def calibrated(sample: list[tuple[bytes, int]], clean_kept: float = 0.985, toxic_found: float = 0.83, **options) -> ToxicityModel:
-    """Trains on all but every sixth text, and sets the bias by those: as high a part of label 0 as `clean_kept` scores below 0.5, unless fewer of label 1 than `toxic_found` would be above."""
+    """Trains on all but every sixth text, and shifts the bias by those: as high a part of label 0 as `clean_kept` scores below 0.5, unless fewer of label 1 than `toxic_found` would be above.
+
+    The shift is shrunk by n / (n + 1) for the n kept-back texts of the rarer label: none where there are none, all but a hundredth of it for a hundred.
+    """
     model = train([x for i, x in enumerate(sample) if i % 6], **options)
     kept_back = [(model.score(raw), y) for raw, y in sample[::6]]
     logit = {label: [np.log(s / (1 - s)) for s, y in kept_back if y == label and 0 < s < 1] for label in (0, 1)}
-    if model.weights is not None and len(logit[1]) >= 20:
-        model.bias -= max(0.0, min(np.quantile(logit[0], clean_kept), np.quantile(logit[1], 1 - toxic_found)))
+    least = min(map(len, logit.values()))
+    if model.weights is not None and least:
+        model.bias -= max(0.0, min(np.quantile(logit[0], clean_kept), np.quantile(logit[1], 1 - toxic_found))) * least / (least + 1)
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = 4000, **options) -> ToxicityModel:
-    """Learns from labelled documents that aren't held out: `most_rows` of them at most, those with the smallest text hashes."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = 4000, longest: int = 1 << 15, **options) -> ToxicityModel:
+    """Learns from labelled documents that aren't held out: `most_rows` labels at most, those whose ids have the smallest hashes, of texts of at most `longest` bytes.
+
+    The sample is chosen by ids alone, so no text is shuffled; of an id with several texts the one with the smallest hash is learned from.
+    """
     known = labels.select(labels[id_col].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("y")).where(~held_out(F.col("doc_id")) & F.col("y").isin(0, 1))
-    held = texts(docs, id_col, text_col).where("text IS NOT NULL").join(known, "doc_id")
-    keyed = held.select("doc_id", "y", F.xxhash64("text").alias("h")).orderBy("h", "doc_id", "y").limit(most_rows)
-    chosen = keyed.select("doc_id").distinct()  # most_rows rows at most
-    rows_ = held.join(F.broadcast(chosen), "doc_id").select(F.xxhash64("text"), "doc_id", "y", "text").dropDuplicates().collect()
-    return calibrated([(bytes(text), y) for _, _, y, text in sorted(rows_, key=lambda r: r[:3])][:most_rows], **options)
+    own = texts(docs, id_col, text_col).where((F.octet_length("text") <= longest) & F.col("doc_id").isNotNull())
+    keyed = known.groupBy("doc_id", "y").agg(F.count(F.lit(1)).alias("times")).join(own.select("doc_id"), "doc_id", "left_semi")
+    chosen = keyed.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most_rows)
+    ids = [tuple(r) for r in chosen.collect()]  # most_rows rows of three numbers
+    small = docs.sparkSession.createDataFrame(sorted({(i,) for i, _, _ in ids}), "doc_id long")
+    one = own.join(F.broadcast(small), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least"))
+    text_of = {i: bytes(t) for i, t in one.select("doc_id", "least.text").collect()}  # most_rows * longest bytes at most
+    sample = [(text_of[i], y) for i, y, times in ids for _ in range(min(times, most_rows)) if i in text_of]
+    return calibrated(sample[:most_rows], **options)
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
