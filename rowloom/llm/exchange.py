@@ -12,6 +12,7 @@ no answers and raises an error instead of giving a wrong result.
 from __future__ import annotations
 
 import struct
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,16 +79,51 @@ def unpack_texts(payload: bytes) -> tuple[list[int | None], list[bytes | None]]:
 
 
 def text_blocks(limit: int):
-    """mapInArrow function: (doc_id, text) to one compressed row a chunk."""
+    """mapInArrow function: (doc_id, text, any other columns) to one compressed row a chunk; the other columns travel as Arrow data."""
 
     def run(batches):
-        for chunk, ids, held in chunks(batches, limit):
-            yield pa.record_batch([pa.array([chunk], pa.int64()), pa.array([pack_texts(ids, held)], pa.binary())], schema=TEXT_ARROW)
+        others: deque[pa.RecordBatch] = deque()
+
+        def first_two():
+            for batch in batches:
+                if batch.num_columns > 2:
+                    others.append(batch.select(list(range(2, batch.num_columns))))
+                yield batch.select([0, 1])
+
+        for chunk, ids, held in chunks(first_two(), limit):
+            packed = pack_texts(ids, held)
+            payload = struct.pack("<q", len(packed)) + packed + pack_columns(others, len(ids))
+            yield pa.record_batch([pa.array([chunk], pa.int64()), pa.array([payload], pa.binary())], schema=TEXT_ARROW)
 
     return run
 
 
-def meet(states: DataFrame, replies: DataFrame, run, schema: str) -> DataFrame:
+def pack_columns(batches: deque[pa.RecordBatch], n: int) -> bytes:
+    """The next n rows of the batches, which are taken from the queue; nothing if there are no batches."""
+    parts = []
+    while n and batches:
+        batch = batches.popleft()
+        parts.append(batch.slice(0, n))
+        if len(batch) > n:
+            batches.appendleft(batch.slice(n))
+        n -= len(parts[-1])
+    if not parts:
+        return b""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, parts[0].schema) as writer:
+        for part in parts:
+            writer.write_batch(part)
+    return zstandard.compress(sink.getvalue().to_pybytes(), 3)
+
+
+def unpack_block(payload: bytes) -> tuple[list[int | None], list[bytes | None], pa.Table | None]:
+    """(doc ids, texts, the other columns) of a row of `text_blocks`."""
+    (n,) = struct.unpack_from("<q", payload)
+    others = payload[8 + n :]
+    return *unpack_texts(payload[8 : 8 + n]), pa.ipc.open_stream(zstandard.decompress(others)).read_all() if others else None
+
+
+def meet(states: DataFrame, replies: DataFrame, run, schema) -> DataFrame:
     """Brings a chunk's text block and its replies (level, chunk, bucket, payload) together: run(key, states, replies) -> pa.Table."""
     both = states.select(F.lit(-1).alias("level"), "chunk", F.lit(0).alias("bucket"), "payload").unionByName(replies.select("level", "chunk", "bucket", "payload"))
 
@@ -138,8 +174,18 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ordered[starts], order[starts], counts > 1
 
 
-def ask(chunk: int, keys: np.ndarray, again: np.ndarray, bits: int, owners: np.ndarray | None = None) -> pa.RecordBatch:
-    """The blocks of a chunk: sorted distinct keys, whether each recurs in the chunk, and the document of its first place."""
+def distinct_pairs(keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted keys, checks, index of the first occurrence, whether it occurs again) of the distinct pairs (key, check)."""
+    order = np.lexsort((checks, keys))
+    k, c = keys[order], checks[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+    starts = np.flatnonzero(new)
+    return k[starts], c[starts], order[starts], np.diff(np.append(starts, len(order))) > 1
+
+
+def ask(chunk: int, keys: np.ndarray, again: np.ndarray, bits: int, owners: np.ndarray | None = None, checks: np.ndarray | None = None) -> pa.RecordBatch:
+    """The blocks of a chunk: sorted distinct keys, whether each recurs in the chunk, the document of its first place, and the second half of its name."""
     named = (keys >> np.uint64(64 - bits)).astype(np.int64)
     begins = np.flatnonzero(np.diff(named, prepend=-1))
     buckets, payloads = named[begins].tolist(), []
@@ -148,28 +194,31 @@ def ask(chunk: int, keys: np.ndarray, again: np.ndarray, bits: int, owners: np.n
         delta = np.diff(part, prepend=part[:1])
         delta[0] = part[0]
         owned = b"" if owners is None else pack_planes(owners[lo:hi].astype("<i8").view("<u8"))
-        payloads.append(_framed(pack_planes(delta), np.packbits(again[lo:hi]).tobytes(), owned))
+        checked = b"" if checks is None else pack_planes(checks[lo:hi])
+        payloads.append(_framed(pack_planes(delta), np.packbits(again[lo:hi]).tobytes(), owned, checked))
     return pa.record_batch([pa.array([chunk] * len(buckets), pa.int64()), pa.array(buckets, pa.int32()), pa.array(payloads, pa.binary())], schema=BLOCK_ARROW)
 
 
-def _gather(blocks: pa.Table) -> tuple[list[int], list[int], np.ndarray, np.ndarray, int, np.ndarray | None]:
+def _gather(blocks: pa.Table) -> tuple[list[int], list[int], np.ndarray, np.ndarray, int, np.ndarray | None, np.ndarray | None]:
     """Blocks of one bucket in the order of chunk ids. Of chunks with equal content, hence equal ids, one is kept, and all its keys recur."""
     found, copied = {}, set()
     for chunk, bucket, payload in zip(*(blocks.column(c).to_pylist() for c in ("chunk", "bucket", "payload")), strict=True):
         if chunk in found:
             copied.add(chunk)
         found[chunk] = (bucket, payload)
-    chunk_ids, sizes, keys, again, owners = sorted(found), [], [], [], []
+    chunk_ids, sizes, keys, again, owners, checks = sorted(found), [], [], [], [], []
     for chunk in chunk_ids:
-        packed, flags, owned = _unframed(found[chunk][1], 3)
+        packed, flags, owned, checked = _unframed(found[chunk][1], 4)
         part = np.cumsum(unpack_planes(packed), dtype=np.uint64)
         keys.append(part)
         sizes.append(len(part))
         again.append(np.unpackbits(np.frombuffer(flags, np.uint8), count=len(part)).astype(bool) | (chunk in copied))
         if owned:
             owners.append(unpack_planes(owned).view("<i8"))
+        if checked:
+            checks.append(unpack_planes(checked))
     bucket = next(iter(found.values()))[0]
-    return chunk_ids, sizes, np.concatenate(keys), np.concatenate(again), bucket, np.concatenate(owners) if owners else None
+    return chunk_ids, sizes, np.concatenate(keys), np.concatenate(again), bucket, np.concatenate(owners) if owners else None, np.concatenate(checks) if checks else None
 
 
 def _answer(chunk_ids: list[int], sizes: list[int], bucket: int, bits: np.ndarray) -> pa.Table:
@@ -180,7 +229,7 @@ def _answer(chunk_ids: list[int], sizes: list[int], bucket: int, bits: np.ndarra
 
 def answer_repeated(blocks: pa.Table) -> pa.Table:
     """applyInArrow function of a bucket: one bit a key, set if the key occurs anywhere else."""
-    chunk_ids, sizes, keys, again, bucket, _ = _gather(blocks)
+    chunk_ids, sizes, keys, again, bucket, _, _ = _gather(blocks)
     order = np.argsort(keys, kind="stable")
     ordered = keys[order]
     same = ordered[1:] == ordered[:-1]
@@ -193,15 +242,15 @@ def answer_repeated(blocks: pa.Table) -> pa.Table:
 
 
 def answer_earlier(blocks: pa.Table) -> pa.Table:
-    """applyInArrow function of a bucket: one bit a key, set if another chunk has the key in an earlier document.
+    """applyInArrow function of a bucket: one bit a key, set if another chunk has the key, and the second half of its name, in an earlier document.
 
     Equal document ids in two chunks (repeated rows) come in the order of the chunks' ids.
     """
-    chunk_ids, sizes, keys, _, bucket, owners = _gather(blocks)
-    order = np.lexsort((owners, keys))
-    ordered = keys[order]
+    chunk_ids, sizes, keys, _, bucket, owners, checks = _gather(blocks)
+    order = np.lexsort((owners, checks, keys))
+    keys, checks = keys[order], checks[order]
     bits = np.zeros(len(keys), bool)
-    bits[order[1:]] = ordered[1:] == ordered[:-1]
+    bits[order[1:]] = (keys[1:] == keys[:-1]) & (checks[1:] == checks[:-1])
     return _answer(chunk_ids, sizes, bucket, bits)
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.llm.common import batched, checkpoint, input_bytes, texts
-from rowloom.llm.exchange import BLOCK_SCHEMA, COARSE, TEXT_SCHEMA, answer_repeated, answered, ask, bucket_bits, chunks, distinct, meet, text_blocks, unpack_texts
+from rowloom.llm.exchange import BLOCK_SCHEMA, COARSE, TEXT_SCHEMA, answer_repeated, answered, ask, bucket_bits, chunks, distinct, meet, text_blocks, unpack_block
 from rowloom.llm.substrings import _SPANS, _by_level, spans_of
 
 DEDUPED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:bigint,end:bigint>>"
@@ -136,7 +136,7 @@ def _ask_sample(length: int, bits: int, limit: int):
 def _ask_suffixes(length: int, bits: int):
     def run(key, states: pa.Table, replies: pa.Table) -> pa.Table:
         payloads = states.column("payload").to_pylist()
-        _, _, unique, again = Chunk(*unpack_texts(payloads[0]), length).suffixes(_by_level(replies).get(0, []))
+        _, _, unique, again = Chunk(*unpack_block(payloads[0])[:2], length).suffixes(_by_level(replies).get(0, []))
         return pa.Table.from_batches([ask(key[0].as_py(), unique, again | (len(payloads) > 1), bits)])
 
     return run
@@ -147,7 +147,7 @@ def _finish(length: int):
         out = []
         got = _by_level(replies)
         for payload in states.column("payload").to_pylist():
-            chunk = Chunk(*unpack_texts(payload), length)
+            chunk = Chunk(*unpack_block(payload)[:2], length)
             starts, found, unique, _ = chunk.suffixes(got.get(0, []))
             ties = starts[answered(got.get(1, []), len(unique))[np.searchsorted(unique, found)]]
             cover = np.zeros(len(chunk.data) + 1, np.int8)  # a start and an end at a position cancel, so a value stays in -1 .. 1
