@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,14 +20,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write `df` to the cluster's shared checkpoint folder and read it from there, so a lost executor costs no recomputation.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where it is unset, one of our own if all runs in this process (tests), else an error: executors share no local folder."""
+    context = spark.sparkContext
+    if configured := context.getConf().get("spark.checkpoint.dir"):
+        return configured
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return _own_folder()
+
+
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="rowloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
-    The folder is the one in spark.checkpoint.dir; a folder of our own is set only where none is configured (tests).
-    """
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Write `df` to the cluster's shared checkpoint folder and read it from there, so a lost executor costs no recomputation."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="rowloom-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
