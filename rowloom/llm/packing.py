@@ -46,7 +46,7 @@ def _byte_encoder(path: str):
     source = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""  # fixed value: the byte-level pre-tokenizer's pattern
     encode = tiktoken.Encoding("file", pat_str=source, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
     pack = lambda text: np.array(encode(text), "<u4").tobytes()
-    return pack, Memory(pack)
+    return pack, Memory(lambda piece: pack(" " + piece))
 
 
 @lru_cache(maxsize=2)

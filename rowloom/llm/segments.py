@@ -25,16 +25,20 @@ def pieces(text: str) -> list[str]:
 
 
 class Memory(dict):
-    """piece -> make(" " + piece); emptied when full, and long pieces are not kept."""
+    """piece -> make(piece). Twice `most` pieces at most: when full, those not used since it was last full are dropped. Long pieces are not kept."""
 
-    def __init__(self, make: Callable, most: int = 400_000, longest: int = 64):
+    def __init__(self, make: Callable, most: int = 100_000, longest: int = 32):
         super().__init__()
         self.make, self.most, self.longest = make, most, longest
+        self.before: dict = {}
 
     def __missing__(self, piece: str):
-        value = self.make(" " + piece)
+        value = self.before.pop(piece, None)
+        if value is None:
+            value = self.make(piece)
         if len(piece) <= self.longest:
             if len(self) >= self.most:
+                self.before = self.copy()
                 self.clear()
             self[piece] = value
         return value

@@ -17,7 +17,9 @@ scored and never learned from; documents with several labels count once for each
 from __future__ import annotations
 
 import re
+from array import array
 from dataclasses import dataclass, field
+from math import exp
 
 import numpy as np
 import pandas as pd
@@ -44,29 +46,48 @@ def entries(word: str, buckets: int) -> list[int]:
     return [xxhash.xxh3_64_intdigest(g) % buckets for g in grams]
 
 
+def grams(word: str) -> list[str]:
+    """The letters of a word and its n-grams, as often as they occur; none for a word of punctuation alone."""
+    bare = word.lower()
+    if not bare.isalnum():
+        bare = _EDGES.sub("", bare)
+    if not bare:
+        return []
+    marked = f"<{bare}>"
+    return [bare, *[marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1)]]
+
+
+def entries(word: str, buckets: int) -> list[int]:
+    """Table entries of a word and its n-grams."""
+    return [xxhash.xxh3_64_intdigest(g) % buckets for g in grams(word)]
+
+
 @dataclass
 class ToxicityModel:
     weights: np.ndarray | None  # for each table entry, its part of the log-odds
     bias: float
     _known: Memory | None = field(default=None, repr=False, compare=False)
+    _grams: Memory | None = field(default=None, repr=False, compare=False)
+    _list: array | None = field(default=None, repr=False, compare=False)
 
     def __getstate__(self):
-        return self.__dict__ | {"_known": None}
+        return self.__dict__ | {"_known": None, "_grams": None, "_list": None}
+
+    def _word(self, word: str) -> complex:
+        """The sum of a word's weights, and their number as the imaginary part. The word itself is rarely met again, its n-grams are."""
+        found = grams(word)
+        return complex(sum(map(self._grams.__getitem__, found[1:]), self._gram(found[0])), len(found)) if found else 0j
 
-    def _word(self, word: str) -> tuple[float, int]:
-        found = entries(word[1:], len(self.weights))
-        return float(self.weights[found].sum()), len(found)
+    def _gram(self, gram: str) -> float:
+        return self._list[xxhash.xxh3_64_intdigest(gram) % len(self._list)]
 
     def score(self, raw: bytes | None) -> float:
         if self.weights is None:
             return self.bias
         if self._known is None:
-            self._known = Memory(self._word)
-        total, n = 0.0, 0
-        for value, k in map(self._known.__getitem__, (raw or b"").decode("utf-8", "replace").split()):
-            total += value
-            n += k
-        return 1 / (1 + np.exp(-np.clip(self.bias + total / max(n, 1), -50, 50)))
+            self._known, self._grams, self._list = Memory(self._word, 150_000), Memory(self._gram), array("d", self.weights)
+        total = sum(map(self._known.__getitem__, (raw or b"").decode("utf-8", "replace").split()), 0j)
+        return 1 / (1 + exp(-max(-50.0, min(50.0, self.bias + total.real / max(total.imag, 1)))))
 
 
 def train(sample: list[tuple[bytes, int]], buckets: int = 1 << 18, dims: int = 4, epochs: int = 10, rate: float = 1.0, rare: int = 600, floor: float = 1e-4, doubt: float = 0.05, seed: int = 7) -> ToxicityModel:
@@ -80,7 +101,7 @@ def train(sample: list[tuple[bytes, int]], buckets: int = 1 << 18, dims: int = 4
     ones = sum(y for _, y in sample)
     if not sample or not 0 < ones < len(sample):
         return ToxicityModel(None, ones / len(sample) if sample else 0.0)
-    known = Memory(lambda w: np.array(entries(w[1:], buckets), np.int64))
+    known = Memory(lambda w: np.array(entries(w, buckets), np.int64))
     bags = []
     for raw, y in sample:
         words = (raw or b"").decode("utf-8", "replace").split()
