@@ -59,6 +59,30 @@ def test_substrings(spark, docs, window, base, limit):
         assert sum(s.end - s.start for s in spans) == n_removed <= n_words, doc_id
 
 
+@pytest.mark.parametrize(("window", "base"), [(20, 5), (7, 2), (13, 1), (3, 5), (1, 1)])
+def test_substrings_double_to_any_window(spark, docs, window, base):
+    levels = substrings.levels_of(window, base)
+    assert levels[-1] == window
+    assert levels[0] == min(base, window)
+    assert all(b == min(2 * a, window) for a, b in zip(levels, levels[1:]))
+    found = rows(substrings.remove_repeats(frame(spark, docs), window, base, chunk_bytes=700))
+    same([(r[0], r[1], r[2], bytes(r[3])) for r in found], removed_words(docs, window))
+
+
+def test_substrings_stop_without_candidates(spark):
+    docs = [(i, " ".join(f"w{i}x{j}" for j in range(50))) for i in range(20)] + [(90, "a b c"), (91, None)]
+    found = rows(substrings.remove_repeats(frame(spark, docs)))
+    same([(r[0], r[1], r[2], bytes(r[3])) for r in found], removed_words(docs, 20))
+
+
+def test_leftmost_least():
+    rng = random.Random(2)
+    for width in (1, 2, 3, 5, 8, 11, 16):
+        values = [rng.randrange(6) for _ in range(60)]
+        found = substrings.leftmost_least(np.array(values, np.uint64), width)
+        assert found.tolist() == [min(range(p, p + width), key=lambda j: (values[j], j)) for p in range(61 - width)]
+
+
 def removed_bytes(docs, length):
     count = Counter(t[j : j + length] for _, text in docs for t in [(text or "").encode()] for j in range(len(t) - length + 1))
     out = []
@@ -364,3 +388,187 @@ def test_empty_tables(spark):
         urlfilters.filter_urls(spark.createDataFrame([], "page_id long, url string, fetched_on date"), spark.createDataFrame([], "domain string, listed_on date, status string")),
     ):
         assert df.count() == 0
+
+
+def test_addresses_have_no_parents(spark):
+    day = datetime.date(2024, 5, 1)
+    entries = spark.createDataFrame([(d, day, "block") for d in ("3.4", "2.3.4", "1.2.3.5", "example.com.", "[::1]", "7")], "domain string, listed_on date, status string")
+    urls = ["http://1.2.3.4/", "http://1.2.3.5:80/x", "http://www.example.com./", "http://example.com/", "http://[::1]:8080/a", "http://[::2]/", "http://5.6.7/"]
+    table = spark.createDataFrame([(i, u, day) for i, u in enumerate(urls)], "page_id long, url string, fetched_on date")
+    found = {r.page_id: (r.host, r.matched_domain) for r in urlfilters.filter_urls(table, entries).collect()}
+    assert found == {
+        0: ("1.2.3.4", None), 1: ("1.2.3.5", "1.2.3.5"), 2: ("www.example.com", "example.com"), 3: ("example.com", "example.com"),
+        4: ("[::1]", "[::1]"), 5: ("[::2]", None), 6: ("5.6.7", None),
+    }
+
+
+def id3(major, frames, flags=0):
+    body = b"".join(frames)
+    return b"ID3" + bytes([major, 0, flags]) + bytes(len(body) >> shift & 127 for shift in (21, 14, 7, 0)) + body
+
+
+def test_media_of_others(spark):
+    stored = mpeg.write(b"x" * 64)
+    audio = stored[mpeg.read(stored).offsets[0] :]
+    song = b"TIT2" + (8).to_bytes(4, "big") + b"\0\0\0My Song"
+    old = b"TT2" + (8).to_bytes(3, "big") + b"\0My Song"
+    marked = b"TIT2" + (5).to_bytes(4, "big") + b"\0\0\0A\xff\x00B"
+    assert mpeg.read(id3(3, [song]) + audio).tags == {"TIT2": "My Song"}
+    assert mpeg.read(id3(2, [old]) + audio).tags == {"TIT2": "My Song"}
+    assert mpeg.read(id3(3, [marked[:7] + b"\4" + marked[8:]], 0x80) + audio).tags == {"TIT2": "A\xffB"}
+    assert mpeg.read(bytes((0xFF, 0xFC, 0x90, 0)) + bytes(716) + bytes((0xFF, 0xFC, 0x90, 0))).checked == 0  # layer II
+    rows_ = [(1, 0, id3(3, [song]) + audio), (2, 0, audio), (3, 0, id3(2, [old]) + audio), (4, 0, None), (5, 0, b"")]
+    found = {r.doc_id: r for r in media.describe(spark.createDataFrame(rows_, "doc_id long, n_bytes long, media binary")).collect()}
+    assert [found[i].frames for i in range(1, 6)] == [1, 1, 1, 0, 0]
+    assert all(r.payload_bytes == 0 for r in found.values())
+
+
+def plain_lz78(data):
+    """The phrases of an LZ78 parse, as byte strings; the unfinished last one counts."""
+    seen, phrase, out = set(), b"", []
+    for k in range(len(data)):
+        phrase += data[k : k + 1]
+        if phrase not in seen:
+            seen.add(phrase)
+            out.append(phrase)
+            phrase = b""
+    return out + ([phrase] if phrase else [])
+
+
+def test_lz_parse_is_lz78(docs):
+    def name(phrase):
+        h = 0
+        for byte in phrase:
+            h = (h * lzprint._FACTOR + byte + 1) & lzprint._MASK
+        return h
+
+    for _, t in docs:
+        data = (t or "").encode()
+        phrases: set[int] = set()
+        last, new = lzprint.parse(data, phrases)
+        wanted = plain_lz78(data)
+        assert [*new, *([last] if last else [])] == [name(p) for p in wanted]
+        values = [int(x) for x in lzprint._mixed([name(p) for p in wanted])] if wanted else []
+        least = [min((v for v in values if v >> 58 == b), default=None) for b in range(lzprint.BINS)]
+        shown = []
+        for b in range(lzprint.BINS):
+            step = next((k for k in range(lzprint.BINS) if least[(b + k) % lzprint.BINS] is not None), None)
+            shown.append(0 if step is None else ((least[(b + step) % lzprint.BINS] >> 20) % 65535 + 1 + (0 if step == 0 else (b - (b + step) % lzprint.BINS) % lzprint.BINS)) % 65536)
+        assert lzprint.fingerprint(data).tolist() == shown
+
+
+def test_packing_ranks_in_parts(spark):
+    pieces = spark.createDataFrame([(i, 0, 7 if i % 3 else 4, i) for i in range(300)], "doc_id long, piece int, length long, ids_crc32 long")
+    placed = rows(packing.place(pieces, 11, each=10))
+    used = defaultdict(list)
+    for _, _, length, _, sequence, offset in placed:
+        used[sequence].append((offset, length))
+    assert len(placed) == 300
+    assert all(sum(x for _, x in parts) <= 11 and sorted(parts) == [(a, b) for a, b in zip(np.cumsum([0, *(x for _, x in sorted(parts))]).tolist(), [x for _, x in sorted(parts)])] for parts in used.values())
+    assert len(used) == 200
+
+
+def test_language_sample_is_that_of_a_plain_sort(spark):
+    rng = random.Random(3)
+    learned = [(" ".join(rng.choice("abcdefgh") * 3 for _ in range(rng.randint(1, 90))), rng.choice(["en", "de", None])) for _ in range(300)]
+    learned += learned[:40] + [(None, "en"), ("qq " * 5000, "fr"), ("zz zz zz", "it")]
+    df = spark.createDataFrame(learned, "text string, lang string")
+    model = langid.fit(df, per_language=20, shortest=50, longest=200, salts=7)
+    hashed = {t: h for t, h in df.selectExpr("text", "xxhash64(text)").collect()}
+    counts = Counter(lang for t, lang in learned if t is not None and lang is not None)
+    wanted = {}
+    for lang in sorted(counts, key=lambda x: (-counts[x], x)):
+        first = sorted({(not 50 <= len(t) <= 200, hashed[t], t) for t, other in learned if other == lang and t is not None})[:20]
+        wanted[lang] = b" ".join(langid.letters(t.encode()) for _, _, t in sorted(first, key=lambda x: x[1]))[: 1 << 16]
+    assert model.dictionaries == {lang: c for lang, c in wanted.items() if len(c) >= 8}
+    assert list(model.dictionaries) == [lang for lang in wanted if len(wanted[lang]) >= 8]
+    assert list(langid.fit(df, most_languages=1).dictionaries) == [next(iter(counts))] or len(langid.fit(df, most_languages=1).dictionaries) == 1
+
+
+def test_language_prediction_is_the_least_sum():
+    import zstandard
+
+    model = langid.LanguageModel({"en": b"the quick brown fox jumps over the lazy dog " * 20, "de": b"der schnelle braune fuchs springt " * 20}, block=64)
+    for text in ("The QUICK fox, jumps!", "Der Fuchs springt; schnelle 12 braune", "fox fuchs " * 50, "x", "Ünïcödé 語 and the dog" * 9):
+        clean = " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()).encode()
+        sums = {}
+        for lang, content in model.dictionaries.items():
+            params = zstandard.ZstdCompressionParameters.from_level(5, min_match=3, source_size=64, dict_size=len(content), write_content_size=False, write_checksum=False, write_dict_id=False)
+            plain = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params)
+            sums[lang] = sum(len(plain.compress(clean[i : i + 64])) for i in range(0, len(clean), 64))
+        best, second = sorted(sums.values())
+        lang, score, rejected = model.predict(text.encode())
+        assert sums[lang] == best
+        assert score == 1 - best / second
+        assert rejected == (second < best * 1.005)
+
+
+def plain_training(sample, buckets, dims, epochs, rate, rare, floor, doubt, seed):
+    """The training of toxicity.train, one entry at a time."""
+    from math import exp, sqrt
+
+    bags = [(Counter(e for w in raw.decode().split() for e in toxicity.entries(w, buckets)), y) for raw, y in sample]
+    seen = Counter(e for bag, _ in bags for e in bag)
+    common = sorted(e for e in seen if seen[e] >= 2 + len(sample) // rare)
+    rng = np.random.default_rng(seed)
+    start = rng.normal(0, 0.1, (len(common), dims)).astype(np.float32)
+    table = {e: [float(x) for x in row] for e, row in zip(common, start)}
+    table_sq = dict.fromkeys(common, floor)
+    soft, bias = rng.normal(0, 0.1, (dims, 2)).astype(np.float32).tolist(), [0.0, 0.0]
+    soft_sq, bias_sq = [[1e-8] * 2 for _ in range(dims)], [1e-8] * 2
+    share = [({e: n / sum(bag.values()) for e, n in bag.items() if e in table}, y) for bag, y in bags]
+    for _ in range(epochs):
+        order = rng.permutation(len(share))
+        for at in range(0, len(order), 64):
+            part = [share[i] for i in order[at : at + 64] if share[i][0]]
+            g_soft, g_bias, g_table = [[0.0] * 2 for _ in range(dims)], [0.0] * 2, defaultdict(lambda: [0.0] * dims)
+            for bag, y in part:
+                hidden = [sum(table[e][d] * s for e, s in bag.items()) for d in range(dims)]
+                z = [bias[c] + sum(hidden[d] * soft[d][c] for d in range(dims)) for c in (0, 1)]
+                total = sum(exp(x - max(z)) for x in z)
+                p = [exp(x - max(z)) / total - doubt / 2 - (1 - doubt) * (c == y) for c, x in enumerate(z)]
+                for c in (0, 1):
+                    g_bias[c] += p[c]
+                    for d in range(dims):
+                        g_soft[d][c] += hidden[d] * p[c]
+                for e, s in bag.items():
+                    for d in range(dims):
+                        g_table[e][d] += s * sum(p[c] * soft[d][c] for c in (0, 1))
+            for e, g in g_table.items():
+                table_sq[e] += sum(x * x for x in g) / dims
+                table[e] = [x - rate * y / sqrt(table_sq[e]) for x, y in zip(table[e], g)]
+            for c in (0, 1):
+                bias_sq[c] += g_bias[c] ** 2
+                bias[c] -= rate * g_bias[c] / sqrt(bias_sq[c]) if part else 0
+                for d in range(dims):
+                    soft_sq[d][c] += g_soft[d][c] ** 2
+                    soft[d][c] -= rate * g_soft[d][c] / sqrt(soft_sq[d][c]) if part else 0
+    return {e: sum(v[d] * (soft[d][1] - soft[d][0]) for d in range(dims)) for e, v in table.items()}, bias[1] - bias[0]
+
+
+def test_toxicity_training_is_that_of_a_plain_version():
+    rng = random.Random(11)
+    sample = [((" ".join(rng.choice(["mild", "calm", "word", "thing", "awful" if y else "nice"]) for _ in range(rng.randint(0, 12)))).encode(), y) for y in [0, 1] * 50]
+    options = dict(buckets=1 << 10, dims=2, epochs=2, rate=0.3, rare=600, floor=1e-2, doubt=0.05, seed=7)
+    model = toxicity.train(sample, **options)
+    weights, bias = plain_training(sample, **options)
+    assert np.isclose(model.bias, bias, atol=1e-3)
+    assert set(np.flatnonzero(model.weights)) <= set(weights)
+    assert np.allclose([model.weights[e] for e in weights], list(weights.values()), atol=1e-3)
+    text = b"awful nice thing unknownword"
+    found = [e for w in text.decode().split() for e in toxicity.entries(w, 1 << 10)]
+    assert np.isclose(model.score(text), 1 / (1 + np.exp(-(model.bias + sum(model.weights[e] for e in found) / len(found)))))
+
+
+def test_toxicity_takes_repeated_rows_and_very_long_texts(spark):
+    model = toxicity.train([((("awful vile " if y else "calm mild ") * 20).encode(), y) for y in [0, 1] * 100])
+    asked = [(1, "awful vile " * 60_000), (1, "awful vile " * 60_000), (2, "calm " * 200_000), (3, "calm mild"), (3, "calm mild"), (3, "awful")]
+    found = rows(toxicity.score(frame(spark, asked), model))
+    assert Counter((i, p) for i, _, p in found) == Counter([(1, 1), (1, 1), (2, 0), (3, 0), (3, 0), (3, 1)])
+    assert len({s for i, s, p in found if i == 1}) == 1
+
+
+def test_language_id_takes_repeated_rows_and_very_long_texts(spark):
+    model = langid.LanguageModel({"en": b"the quick brown fox jumps over the lazy dog " * 20, "de": b"der schnelle braune fuchs springt " * 20})
+    asked = [(1, "the lazy dog " * 50_000), (1, "the lazy dog " * 50_000), (1, "der braune fuchs"), (None, None), (None, None)]
+    assert Counter((r[0], r[1]) for r in rows(langid.predict(frame(spark, asked), model))) == Counter([(1, "en"), (1, "en"), (1, "de"), (None, "und"), (None, "und")])

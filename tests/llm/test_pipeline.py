@@ -125,3 +125,18 @@ def test_near_dedup_tells_rows_of_one_id_apart(spark, corpus):
     docs = [(1, a), (2, b), (2, a), (2, c), (3, c), (3, "own words here")]
     found = corpus_pipeline.near_dedup(spark, spark.createDataFrame([(i, t, "en", "s", 0) for i, t in docs], SCHEMA), corpus[0]).collect()
     assert sorted((r.doc_id, r.text) for r in found) == sorted([(1, a), (2, b), (2, c), (3, "own words here")])
+
+
+def test_substring_dedup_keeps_each_row_with_its_own_text(spark, corpus):
+    schema = SCHEMA + ", _k int, _null string, carried0 double"
+    long = " ".join(f"w{i}" for i in range(30))
+    rows = [
+        (1, "hello world", "de", "s", 11, 1, "x", 0.5), (1, None, "en", "s", None, 2, None, None), (2, "b a", "aa", "x", 3, 3, "y", 1.5), (2, "a b", "zz", "y", 3, 4, "z", 2.5),
+        (3, long, "en", "s", 0, 5, "u", 3.5), (None, "own " + long, "en", "s", 0, 6, "v", 4.5), (None, "", "fr", None, 0, 7, "w", None), (2, "a b", "zz", "y", 3, 4, "z", 2.5),
+    ]
+    docs = spark.createDataFrame(rows, schema)
+    found = corpus_pipeline.substring_dedup(spark, docs, corpus[0])
+    assert found.columns == docs.columns
+    assert found.dtypes == docs.dtypes
+    wanted = [(i, "own" if t and t.startswith("own") else t, lang, source, None if t is None else 3 if t.startswith("own") else len(t), *rest) for i, t, lang, source, _, *rest in rows]
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, wanted))
