@@ -44,6 +44,26 @@ def substring(s: Column, start: Column, count: Column | None = None) -> Column:
     return F.substring(s, start, F.length(s) if count is None else count)
 
 
+def _replace_first(s: Column, pattern: Column, new: Column) -> Column:
+    """The first match alone is replaced; $1 and so on in `new` stand for its groups."""
+    start, found = F.regexp_instr(s, pattern), F.regexp_substr(s, pattern)
+    replaced = F.regexp_replace(found, F.concat(F.lit("^(?:"), pattern, F.lit(")$")), new)
+    tail = F.substring(s, start + F.length(found), F.length(s))
+    return F.when(start > 0, F.concat(F.substring(s, F.lit(1), start - 1), replaced, tail)).otherwise(s)
+
+
+def clock_millis(t: Column) -> Column:
+    """Milliseconds of a time of day since midnight."""
+    return F.call_function("time_diff", F.lit("MILLISECOND"), F.lit("00:00:00").cast("time"), t)
+
+
+def clock(ms: Column) -> Column:
+    """The time of day so many milliseconds after midnight; days are left out."""
+    ms = F.pmod(ms.cast("bigint"), F.lit(DAY_MS))
+    seconds = (F.pmod(ms, F.lit(60_000)) / 1000).cast("decimal(16,6)")
+    return F.call_function("make_time", F.floor(ms / 3_600_000).cast("int"), F.pmod(F.floor(ms / 60_000), F.lit(60)).cast("int"), seconds)
+
+
 def strictly(pick: Function) -> Function:
     """GREATEST and LEAST are null if any argument is."""
 
@@ -126,7 +146,7 @@ FUNCTIONS: dict[str, Function] = {
     "STRPOS": lambda s, part: F.call_function("instr", s, part),
     "REPLACE": F.replace,
     "REPLACEALL": F.regexp_replace,
-    "REPLACEFIRST": lambda s, pattern, new: F.when(F.regexp_instr(s, pattern) > 0, F.concat(F.substring(s, F.lit(1), F.regexp_instr(s, pattern) - 1), new, F.substring(s, F.regexp_instr(s, pattern) + F.length(F.regexp_substr(s, pattern)), F.length(s)))).otherwise(s),
+    "REPLACEFIRST": lambda s, pattern, new: _replace_first(s, pattern, new),
     # choice
     "COALESCE": F.coalesce,
     "NULLIF": F.nullif,
@@ -139,6 +159,8 @@ FUNCTIONS: dict[str, Function] = {
     "DATE_ADD": lambda d, n: F.date_add(d, n.cast("int")),
     "TIMESTAMP_ADD": lambda t, n: from_millis(millis(t) + n),
     "TIME_ADD": lambda t, n: from_millis(millis(t) + n),
+    "CLOCK_ADD": lambda t, n: clock(clock_millis(t) + n),
+    "CLOCK_DIFF": lambda a, b: clock_millis(a) - clock_millis(b),
     "DATE_DIFF": lambda a, b: F.datediff(a, b).cast("bigint") * DAY_MS,
     "TIMESTAMP_DIFF": lambda a, b: millis(a) - millis(b),
     "TIME_DIFF": lambda a, b: millis(a) - millis(b),

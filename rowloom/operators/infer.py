@@ -2,31 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Narrow to wide, as a value is tried.
-CANDIDATES = ("int", "bigint", "double", "timestamp", "date")
+#: Shapes that a value can have; a value that has the shape is cast once to see that it fits.
+_WHOLE = r"^\s*[+-]?\d{1,19}\s*$"
+_NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?[dDfF]?\s*$|^\s*[+-]?(?i:inf|infinity|nan)\s*$"
 _DATE = r"^\s*\d{4}-\d{1,2}-\d{1,2}\s*$"
 _TIMESTAMP = r"^\s*\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?\s*$"
+_TIME = r"^\s*\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?\s*$"
+INT, BIGINT, DOUBLE, DATE, STAMP, TIME, TEXT = (1 << i for i in range(7))
+
+
+def _kind(c: Column) -> Column:
+    """One bit for what a value is; each test is tried only if those before it failed."""
+    return (
+        F.when(c.isNull(), F.lit(0))
+        .when(c.rlike(_WHOLE), F.when(F.length(F.trim(c)) <= 9, INT).when(c.try_cast("int").isNotNull(), INT).when(c.try_cast("bigint").isNotNull(), BIGINT).otherwise(DOUBLE))
+        .when(c.rlike(_NUMBER) & c.try_cast("double").isNotNull(), DOUBLE)
+        .when(c.rlike(_DATE), DATE)
+        .when(c.rlike(_TIMESTAMP), STAMP)
+        .when(c.rlike(_TIME) & c.try_cast("time").isNotNull(), TIME)
+        .otherwise(TEXT)
+    )
+
+
+def _type(kinds: int) -> str:
+    """The narrowest type of values of these kinds; a column of nulls alone stays text."""
+    if kinds & TEXT or not kinds:
+        return "string"
+    if not kinds & ~(INT | BIGINT | DOUBLE):
+        return "double" if kinds & DOUBLE else "bigint" if kinds & BIGINT else "int"
+    if not kinds & ~(DATE | STAMP):
+        return "date" if kinds & DATE else "timestamp_ntz"
+    return "time" if kinds == TIME else "string"
 
 
 def infer_types(df: DataFrame, columns: list[str] | None = None, nulls: list[str] = (), limit: int | None = None) -> DataFrame:
     """Casts text columns to the narrowest type of their values; listed null strings become null.
 
-    The look-ahead (all rows, or `limit` of them) is read when this is called. Dates together with timestamps give dates. After a
-    limited look-ahead a value that doesn't fit raises.
+    The look-ahead (all rows, or `limit` of them) is read when this is called: one scan that classifies each value once. Dates together with
+    timestamps give dates. After a limited look-ahead a value that doesn't fit raises.
     """
-    texts = [c for c in (columns or df.columns) if dict(df.dtypes)[c] == "string"]
+    kinds = dict(df.dtypes)
+    texts = [c for c in (columns or df.columns) if kinds[c] == "string"]
     if not texts:
         return df
     known = df.select([F.when(~F.col(c).isin(*nulls), F.col(c)).alias(c) if nulls and c in texts else F.col(c) for c in df.columns])
     sample = known.select(texts) if limit is None else known.select(texts).limit(limit)
-    tests = {"int": lambda c: F.col(c).try_cast("int").isNotNull() & ~F.col(c).contains("."), "bigint": lambda c: F.col(c).try_cast("bigint").isNotNull() & ~F.col(c).contains("."), "double": lambda c: F.col(c).try_cast("double").isNotNull(), "timestamp": lambda c: F.col(c).rlike(_TIMESTAMP), "date": lambda c: F.col(c).rlike(_DATE) | F.col(c).rlike(_TIMESTAMP)}
-    facts = sample.agg(*[F.bool_and(F.when(F.col(c).isNotNull(), test(c))).alias(f"{i}_{kind}") for i, c in enumerate(texts) for kind, test in tests.items()]).first()
-    chosen = {}
-    for i, c in enumerate(texts):
-        chosen[c] = next((kind for kind in CANDIDATES if facts[f"{i}_{kind}"]), "string")
-    cast = {"timestamp": "timestamp_ntz", "date": "date"}
-    # A column of nulls alone stays text.
-    return known.select([F.col(c).cast(cast.get(chosen[c], chosen[c])).alias(c) if c in chosen and chosen[c] != "string" else F.col(c) for c in df.columns])
+    facts = sample.agg(*[F.coalesce(F.bit_or(_kind(F.col(c))), F.lit(0)).alias(str(i)) for i, c in enumerate(texts)]).first()
+    chosen = {c: _type(facts[i]) for i, c in enumerate(texts)}
+    return known.select([F.col(c).cast(chosen[c]).alias(c) if chosen.get(c, "string") != "string" else F.col(c) for c in df.columns])

@@ -41,6 +41,8 @@ def compound(kind: str, left: DataFrame, right: DataFrame, keep_all: bool = Fals
 def compare_all(df: DataFrame, x: str, op: str, values: DataFrame, every: bool = True) -> DataFrame:
     """Rows for which x op ALL (or ANY) of a one-column relation holds: one aggregate of the relation instead of a nested loop."""
     column = values.columns[0]
+    if op == "=" and not every or op in ("<>", "!=") and every:
+        return _compare_equal(df, x, values.toDF("_value"), every)
     facts = values.agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"), F.count(F.lit(1)).alias("_n"), F.count(column).alias("_known"), F.count_distinct(column).alias("_kinds"))
     lo, hi, n, known, kinds = (F.col(c) for c in ("_lo", "_hi", "_n", "_known", "_kinds"))
     v = F.col(x)
@@ -48,10 +50,20 @@ def compare_all(df: DataFrame, x: str, op: str, values: DataFrame, every: bool =
         test = {">": v > hi, ">=": v >= hi, "<": v < lo, "<=": v <= lo, "=": (kinds <= 1) & (v == lo)}[op]
         holds = (n == 0) | ((known == n) & test)
     else:
-        holds = (known > 0) & {">": v > lo, ">=": v >= lo, "<": v < hi, "<=": v <= hi}[op]
+        holds = (known > 0) & {">": v > lo, ">=": v >= lo, "<": v < hi, "<=": v <= hi, "<>": (kinds > 1) | (v != lo), "!=": (kinds > 1) | (v != lo)}[op]
     # The aggregate is a single row.
     return df.join(F.broadcast(facts), F.lit(True)).where(holds).select(*df.columns)
 
 
+def _compare_equal(df: DataFrame, x: str, values: DataFrame, every: bool) -> DataFrame:
+    """x = ANY, or x <> ALL: a semi or anti join; with a null among the values no row is known to differ from all."""
+    if not every:
+        return df.join(values, F.col(x) == F.col("_value"), "left_semi")
+    facts = values.agg(F.count(F.lit(1)).alias("_n"), F.count("_value").alias("_known"))
+    holds = (F.col("_n") == 0) | (F.col("_known") == F.col("_n")) & F.col(x).isNotNull()
+    open_ = df.join(F.broadcast(facts), F.lit(True)).where(holds).select(*df.columns)  # a single row
+    return open_.join(values, F.col(x) == F.col("_value"), "left_anti")
+
+
 def approximate_distinct(df: DataFrame, keys: list[str], column: str, error: float = 0.02) -> DataFrame:
     return df.groupBy(*keys).agg(F.approx_count_distinct(column, error).alias("n"))

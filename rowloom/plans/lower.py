@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rowloom.functions import aggregate as A
@@ -21,8 +21,17 @@ from rowloom.rel import Rel, ascending
 from rowloom.sources.pgcatalog import catalog_table
 from rowloom.sources.registry import Registry
 
-COMPARE = {"=": lambda a, b: a == b, "<>": lambda a, b: a != b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
-RUNNING = {"ROW_NUMBER", "RANK", "DENSE_RANK", "LAG", "NTH_VALUE", "MOVAVG", "MOVSTDDEV", "STRING_AGG"}
+COMPARE = {
+    "=": lambda a, b: a == b,
+    "<>": lambda a, b: a != b,
+    "!=": lambda a, b: a != b,
+    "<": lambda a, b: a < b,
+    "<=": lambda a, b: a <= b,
+    ">": lambda a, b: a > b,
+    ">=": lambda a, b: a >= b,
+}
+#: Functions that leave integers as they are, or divide them exactly.
+WHOLE = {"FLOOR", "CEIL", "CEILING", "TRUNC", "TRUNCATE", "DIV"}
 
 
 @dataclass
@@ -35,12 +44,18 @@ class Scope:
 class Lowering:
     def __init__(self, spark: SparkSession, registry: Registry, learners: dict[str, ml.Trained]):
         self.spark, self.registry, self.learners = spark, registry, learners
+        self.outer: list[Scope] = []  # of the queries around the one that is lowered
+        self.lazy: dict[int, tuple[DataFrame, list[str]]] = {}
+        self.prepared: dict[int, Column] = {}  # moving averages whose columns were added to the relation, by their node
 
     # Relations
 
     def rel(self, node: Node) -> Rel:
         return self.scope(node).rel
 
+    def columns(self, df: DataFrame) -> list[str]:
+        return self.lazy[id(df)][1] if id(df) in self.lazy else df.columns
+
     def scope(self, node: Node) -> Scope:
         return getattr(self, "_" + node[0])(*node[1:])
 
@@ -142,13 +157,20 @@ class Lowering:
     def _select(self, targets, source, where, group, having, distinct, on, order=None, limit=None, offset=0) -> Scope:
         scope = self.scope(source) if source else Scope(Rel(self.spark.range(1)))
         if where is not None:
-            scope = Scope(scope.rel.having(scope.rel.df.where(self.expression(where, scope))), scope.names, scope.labels)
+            kept = scope.rel.df.where(self.expression(where, scope))
+            if self.outer:  # a subquery that names outer columns can't be asked for its own before it is part of the whole
+                self.lazy[id(kept)] = kept, self.columns(scope.rel.df)
+            scope = Scope(scope.rel.having(kept), scope.names, scope.labels)
+        scope = self._with_moving(scope, [t for t, _ in targets])
         sequential = scope.labels is not None
         if group is None and not sequential and not any(_has_aggregate(t[0]) for t in targets) and having is None:
             return self._projected(scope, targets, distinct, on, order, limit, offset)
         named = {(name or "").upper(): e for e, name in targets if name}
         chosen = [self._group_item(g, targets, named) for g in group or []]
         keys = [self.expression(g, scope) for g in chosen]
+        if scope.rel.order and not sequential and any(_calls(t, "STRING_AGG") for t, _ in targets):
+            place = F.row_number().over(Window.partitionBy(*(keys or [F.lit(1)])).orderBy(*scope.rel.order))
+            scope = replace(scope, rel=scope.rel.having(scope.rel.df.withColumn("_place", place)))
         if sequential and not chosen:  # a matched relation gives a row a match
             keys = [F.col(c) for c in (*scope.rel.partition, "match_id")]
         columns = [self.expression(e, scope).alias(name or self.title(e)) for e, name in targets]
@@ -160,13 +182,45 @@ class Lowering:
             else:
                 hidden.append(self.expression(e, scope).alias(f"_sort{i}"))
                 sorts.append((("column", None, f"_sort{i}"), up, first))
-        grouped = scope.rel.df.groupBy(*[k.alias(f"_key{i}") for i, k in enumerate(keys)]).agg(*columns, *hidden)
-        df = grouped.select(*[c for c in grouped.columns if not c.startswith("_key")]) if keys else grouped
+        if keys:
+            grouped = scope.rel.df.groupBy(*[k.alias(f"_key{i}") for i, k in enumerate(keys)]).agg(*columns, *hidden)
+            df = grouped.select(*[c for c in grouped.columns if not c.startswith("_key")])
+        elif chosen or not all(_has_aggregate(e) for e, _ in targets):
+            df = scope.rel.df.groupBy().agg(*columns, *hidden)
+        else:  # a subquery may name columns of the query around it in a select, not in a groupBy
+            df = scope.rel.df.select(*columns, *hidden)
         if having is not None:
             df = df.where("_having").drop("_having")
         lowered = tuple(self.sort(s, Scope(Rel(df))) for s in sorts)
         df = df.orderBy(*lowered) if lowered else df
-        return self._cut(Scope(Rel(df.drop(*[c for c in df.columns if c.startswith("_sort")]), lowered)), limit, offset)
+        extra = [e[2] for e, _, _ in sorts if e[2].startswith("_sort")]
+        return self._cut(Scope(Rel(df.drop(*extra) if extra else df, lowered)), limit, offset)
+
+    def _with_moving(self, scope: Scope, targets: list) -> Scope:
+        """Adds the columns that T.movavg, T.movstddev and T.expmovavg of columns need, so that no row collects its predecessors.
+
+        The first two range over the running count of known values; the third walks each partition once. Only a relation by itself is changed.
+        """
+        if len(scope.names) != 1 or scope.labels is not None:
+            return scope
+        (alias, rel), df = next(iter(scope.names.items())), scope.rel.df
+        for k, node in enumerate(c for t in targets for c in _moving(t)):
+            _, qualifier, name, arguments, _ = node
+            if qualifier[0].upper() != alias or arguments[0][0] != "column" or len(arguments) != 2:
+                continue
+            column, n = arguments[0][2], arguments[1][1]
+            own = next((c for c in df.columns if c.upper() == column.upper()), None)
+            if own is None:
+                continue
+            if name == "EXPMOVAVG":
+                df = sequence.expmovavg(replace(rel, df=df), own, float(n), f"_moving{k}").alias(alias)
+                self.prepared[id(node)] = F.col(f"_moving{k}")
+            else:
+                df = df.withColumn(f"_moving{k}", F.count(f"`{own}`").over(rel.running()))
+                frame = Window.partitionBy(*rel.partition).orderBy(f"_moving{k}").rangeBetween(1 - n, 0)
+                value = (F.avg if name == "MOVAVG" else F.stddev_samp)(f"`{own}`").over(frame)
+                self.prepared[id(node)] = F.when(F.col(f"_moving{k}") > 0, value)
+        return Scope(scope.rel.having(df), {alias: replace(rel, df=df)})
 
     def _group_item(self, e: Node, targets: list, named: dict[str, Node]) -> Node:
         if e[0] == "literal" and isinstance(e[1], int):
@@ -178,9 +232,15 @@ class Lowering:
     def _projected(self, scope: Scope, targets, distinct, on, order, limit, offset) -> Scope:
         df = scope.rel.df
         columns: list[Column] = []
+        outputs: list[str] = []
         for e, name in targets:
-            columns += self._star(e, scope) if e[0] == "star" else [self.expression(e, scope).alias(name or self.title(e))]
-        outputs = df.select(*columns).columns
+            if e[0] == "star":
+                own = self._star(e, scope)
+                columns += own
+                outputs += df.select(*own).columns
+            else:
+                columns.append(self.expression(e, scope).alias(name or self.title(e)))
+                outputs.append(name or self.title(e))
         sorts = [self._ordinal(s, outputs) for s in order or []]
         if on is not None:
             keyed = df.withColumns({f"_on{i}": self.expression(e, scope) for i, e in enumerate(on)})
@@ -194,7 +254,8 @@ class Lowering:
                 lowered = tuple(self.sort(s, Scope(Rel(out))) for s in sorts)
                 out = out.orderBy(*lowered)
             else:
-                lowered = tuple(self.sort(s, scope) for s in sorts)
+                named = {name.upper(): e for e, name in targets if name}
+                lowered = tuple(self.sort((named.get(e[2].upper(), e) if e[0] == "column" and e[1] is None else e, up, first), scope) for e, up, first in sorts)
                 out = df.orderBy(*lowered).select(*columns)
         else:
             lowered = scope.rel.order
@@ -204,7 +265,7 @@ class Lowering:
         _, table, index, excepted = e
         hidden = {x.upper() for x in excepted}
         rel = scope.rel if table is None else scope.names[table.upper()]
-        names = [c for c in rel.df.columns if c.upper() not in hidden and not c.startswith("_")]
+        names = [c for c in self.columns(rel.df) if c.upper() not in hidden and not c.startswith("_")]
         if index is not None:
             return [sequence.at(rel, c, index).alias(c) for c in names]
         return [F.col(f"`{table}`.`{c}`" if table else f"`{c}`") for c in names]
@@ -292,7 +353,7 @@ class Lowering:
     def expression(self, e: Node, scope: Scope | None) -> Column:
         if isinstance(e, Column):
             return e
-        return getattr(self, "e_" + e[0])(scope, *e[1:])
+        return self.e_call(scope, e) if e[0] == "call" else getattr(self, "e_" + e[0])(scope, *e[1:])
 
     def e_literal(self, _, value) -> Column:
         return F.lit(value)
@@ -300,7 +361,21 @@ class Lowering:
     def e_column(self, scope: Scope | None, table: str | None, name: str) -> Column:
         if scope is not None and scope.labels is not None and table is not None and table.upper() in scope.names:
             return F.max_by(F.when(F.array_contains("_labels", table.upper()), F.col(f"`{name}`")), F.when(F.array_contains("_labels", table.upper()), F.col("match_pos")))
-        return F.col(f"`{table}`.`{name}`" if table else f"`{name}`")
+        column = F.col(f"`{table}`.`{name}`" if table else f"`{name}`")
+        return column.outer() if self.outer and scope is not None and not self.knows(scope, table, name) and self.knows(self.outer[-1], table, name) else column
+
+    def knows(self, scope: Scope, table: str | None, name: str) -> bool:
+        """Whether a query's relations have this column."""
+        rel = scope.rel if table is None else scope.names.get(table.upper())
+        return rel is not None and name.upper() in {c.upper() for c in self.columns(rel.df)}
+
+    def within(self, scope: Scope | None, query: Node) -> DataFrame:
+        """The rows of a subquery, which may name columns of the query around it."""
+        self.outer.append(scope or Scope(Rel(self.spark.range(1))))
+        try:
+            return self.rel(query).df
+        finally:
+            self.outer.pop()
 
     def e_index(self, scope: Scope, table: str, index: int, name: str) -> Column:
         if scope.labels is not None:
@@ -308,23 +383,26 @@ class Lowering:
             return F.get(held, F.lit(index) if index >= 0 else F.size(held) - 1 + index)["x"]
         return sequence.at(scope.names[table.upper()], name, index)
 
-    def e_call(self, scope: Scope | None, qualifier: list[str] | None, name: str, arguments: list[Node], distinct: bool) -> Column:
+    def e_call(self, scope: Scope | None, node: Node) -> Column:
+        _, qualifier, name, arguments, distinct = node
+        if name == "PATH" and scope is not None and scope.labels is not None:
+            return _path(qualifier, str(arguments[0][1]) if arguments else ",")
         if qualifier is not None and scope is not None and scope.labels is not None:
             found = reduce(lambda a, b: a | b, [F.array_contains("_labels", q.upper()) for q in qualifier])
             if name == "EXISTS":
                 return F.count_if(found) > 0
-            if name == "PATH":
-                raise ValueError("PATH belongs to a whole match")
             values = [self.expression(a, replace(scope, labels=None)) for a in arguments] or [F.lit(1)]
             return A.aggregate(name, *[F.when(found, v) for v in values], distinct=distinct)
+        if (ready := self.prepared.pop(id(node), None)) is not None:
+            return ready
         if qualifier is not None:
             return self.running(scope.names[qualifier[0].upper()], name, arguments, scope)
         values = [self.expression(a, scope if scope is None else replace(scope, labels=None)) for a in arguments]
         if name == "STRING_AGG":
-            order = list(scope.rel.order) if scope and scope.rel.order else []
-            held = F.collect_list(values[0].cast("string")) if not order else None
             separator = arguments[1][1] if len(arguments) > 1 else ", "
-            return F.array_join(F.array_sort(held), separator) if held is not None else A.string_agg(values[0], [F.col("match_pos")] if scope.labels is not None else [F.col(c) for c in ()] or [values[0]], separator)
+            order = F.col("match_pos") if scope.labels is not None else F.col("_place") if scope.rel.order else values[0]
+            held = A.string_agg(values[0], [order], separator)
+            return F.array_join(F.array_sort(F.collect_set(values[0].cast("string"))), separator) if distinct else held
         if name in A.AGGREGATES and name != "EXISTS":
             return A.aggregate(name, *values, distinct=distinct)
         if name in ("DATE_PART", "DATE_PARTSTR"):
@@ -336,12 +414,16 @@ class Lowering:
             return S.scalar(f"{name}_PARTS", *values)
         if name == "TOUTC" and len(values) == 1:
             return S.scalar("TOUTC", F.current_timezone(), values[0])
+        if name in WHOLE and (kinds := self.kinds(scope, *values)) and all(k in casts.INTEGRAL for k in kinds):
+            return values[0] if len(values) == 1 else S.divide(*values)
+        if name in ("TIME_ADD", "TIME_DIFF", "TIMESTAMP_ADD") and (self.kinds(scope, values[0]) or [""])[0].startswith("time("):
+            return S.scalar("CLOCK_DIFF" if name == "TIME_DIFF" else "CLOCK_ADD", *values)
         return S.scalar(name, *values) if name in S.FUNCTIONS else F.call_function(name, *values)
 
     def running(self, rel: Rel, name: str, arguments: list[Node], scope: Scope) -> Column:
-        """T.f(x): over the rows from the partition's first to the current one."""
+        """T.f(x): over the rows from the partition's first to the current one. Moving averages that `_with_moving` prepared don't come here."""
         values = [self.expression(a, scope) for a in arguments]
-        constant = lambda i: arguments[i][1]
+        constant = lambda i: -arguments[i][1][1] if arguments[i][0] == "negative" else arguments[i][1]
         if name == "ROW_NUMBER":
             return F.row_number().over(rel.window())
         if name in ("RANK", "DENSE_RANK"):
@@ -430,42 +512,65 @@ class Lowering:
         tests = [(self.expression(t, s) if argument is None else self.expression(argument, s) == self.expression(t, s), self.expression(v, s)) for t, v in whens]
         return reduce(lambda rest, w: F.when(w[0], w[1]).otherwise(rest), reversed(tests), self.expression(other, s))
 
-    def e_exists(self, _, q) -> Column:
-        return self.rel(q).df.exists()
+    def e_exists(self, s, q) -> Column:
+        return self.within(s, q).exists()
 
-    def e_scalar(self, _, q) -> Column:
-        return self.rel(q).df.limit(1).scalar()
+    def e_scalar(self, s, q) -> Column:
+        df = self.within(s, q)
+        one = q[0] == "select" and q[4] is None and any(_has_aggregate(t[0]) for t in q[1])  # an aggregate of everything is one row
+        return (df if one else df.limit(1)).scalar()
 
     def e_in(self, s, x, kind, members) -> Column:
         value = self.expression(x, s)
-        return value.isin(self.rel(members).df) if kind == "query" else value.isin(*[self.expression(m, s) for m in members])
+        return value.isin(self.within(s, members)) if kind == "query" else value.isin(*[self.expression(m, s) for m in members])
 
     def e_quantified(self, s, op, x, every, kind, members) -> Column:
         value = self.expression(x, s)
         if kind == "list":
             return S.quantified(value, COMPARE[op], [self.expression(m, s) for m in members], every)
-        df = self.rel(members).df
+        df = self.within(s, members)
         c = df.columns[0]
+        if every and op in ("<>", "!="):
+            return ~value.isin(df)
+        if not every and op == "=":
+            return value.isin(df)
         facts = df.agg(F.struct(F.min(c).alias("lo"), F.max(c).alias("hi"), F.count(F.lit(1)).alias("n"), F.count(c).alias("known"), F.count_distinct(c).alias("kinds"))).scalar()
         lo, hi, n, known, kinds = (facts[f] for f in ("lo", "hi", "n", "known", "kinds"))
         if every:
             test = {">": value > hi, ">=": value >= hi, "<": value < lo, "<=": value <= lo, "=": (kinds <= 1) & (value == lo)}[op]
             return F.when(n == 0, True).when(~test, False).when(known < n, None).otherwise(test)
-        test = {">": value > lo, ">=": value >= lo, "<": value < hi, "<=": value <= hi, "<>": (kinds > 1) | (value != lo), "!=": (kinds > 1) | (value != lo)}.get(op)
-        if test is None:
-            return value.isin(df)
+        test = {">": value > lo, ">=": value >= lo, "<": value < hi, "<=": value <= hi, "<>": (kinds > 1) | (value != lo), "!=": (kinds > 1) | (value != lo)}[op]
         return F.when(n == 0, False).when(test, True).when(known < n, None).otherwise(test)
 
     def e_star(self, *_) -> Column:
         raise ValueError("a star stands for columns in a SELECT list only")
 
 
+def _moving(e) -> list[Node]:
+    """The calls T.movavg, T.movstddev and T.expmovavg within an expression."""
+    if not isinstance(e, tuple | list):
+        return []
+    own = [e] if isinstance(e, tuple) and e and e[0] == "call" and e[1] is not None and len(e[1]) == 1 and e[2] in ("MOVAVG", "MOVSTDDEV", "EXPMOVAVG") else []
+    return own + [c for x in e for c in _moving(x)]
+
+
+def _calls(e, name: str) -> bool:
+    return isinstance(e, tuple | list) and (isinstance(e, tuple) and len(e) > 2 and e[0] == "call" and e[2] == name or any(_calls(x, name) for x in e))
+
+
+def _path(labels: list[str] | None, separator: str) -> Column:
+    """The labels of a match's rows in order; of these labels alone, if some are named."""
+    own = F.filter("_labels", lambda x: x.isin(*[label.upper() for label in labels])) if labels else F.col("_labels")
+    held = F.array_sort(F.collect_list(F.when(F.size(own) > 0, F.struct("match_pos", F.get(own, F.lit(0)).alias("x")))))
+    return F.array_join(F.transform(held, lambda e: e["x"]), separator)
+
+
 def _has_aggregate(e) -> bool:
     if not isinstance(e, tuple | list):
         return False
     if isinstance(e, tuple) and e and e[0] in ("scalar", "exists"):
         return False
-    if isinstance(e, tuple) and e and e[0] == "call" and e[1] is None and (e[2] in A.AGGREGATES or e[2] == "STRING_AGG"):
+    if isinstance(e, tuple) and e and e[0] == "call" and e[1] is None and (e[2] in A.AGGREGATES or e[2] in ("STRING_AGG", "PATH")):
         return True
     return any(_has_aggregate(x) for x in e)
 

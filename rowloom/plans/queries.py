@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from rowloom.functions import aggregate as A
 from rowloom.functions import casts
 from rowloom.functions import scalar as S
-from rowloom.operators import align, infer, match, ml, relational, sequence, text, transform
-from rowloom.rel import Rel, ascending, descending
+from rowloom.operators import align, infer, match, ml, sequence, text, transform
+from rowloom.plans import sql_queries
+from rowloom.rel import Rel, ascending
 from rowloom.streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = dict(sql_queries.QUERIES)
+SQL: dict[str, str] = dict(sql_queries.SQL)
 
 
 def query(sql: str | None = None):
@@ -42,132 +43,7 @@ def by_user(spark: SparkSession, sf_dir: str) -> Rel:
     return Rel(read(spark, sf_dir, "events")).partition_by("user_id").ordered_by("ts", "event_id")
 
 
-# Relational core
-
-
-@query("SELECT l_orderkey, l_extendedprice * (1 - l_discount) AS net FROM lineitem WHERE l_quantity < 10 AND l_returnflag = 'R'")
-def q_filter_project(spark, d):
-    return read(spark, d, "lineitem").where("l_quantity < 10 AND l_returnflag = 'R'").select("l_orderkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net"))
-
-
-@query("""SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 4) AS sum_qty, round(avg(l_extendedprice), 4) AS avg_price, count(*) AS n
-FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY l_returnflag, l_linestatus HAVING count(*) > 10""")
-def q_group_having(spark, d):
-    df = read(spark, d, "lineitem").where("l_shipdate <= TIMESTAMP_NTZ '1998-09-02'")
-    return df.groupBy("l_returnflag", "l_linestatus").agg(r(F.sum("l_quantity"), 4).alias("sum_qty"), r(F.avg("l_extendedprice"), 4).alias("avg_price"), F.count(F.lit(1)).alias("n")).where("n > 10")
-
-
-def _join(how: str):
-    def run(spark, d):
-        c = read(spark, d, "customer").where("c_acctbal > 0")
-        o = read(spark, d, "orders").where("o_totalprice > 100000")
-        return c.join(o, c.c_custkey == o.o_custkey, how).select("c_custkey", "c_name", "o_orderkey", "o_totalprice")
-
-    return run
-
-
-for _how, _sql in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("full", "FULL JOIN")):
-    QUERIES[f"q_join_{_how}"] = _join(_how)
-    SQL[f"q_join_{_how}"] = f"SELECT c_custkey, c_name, o_orderkey, o_totalprice FROM (SELECT * FROM customer WHERE c_acctbal > 0) c {_sql} (SELECT * FROM orders WHERE o_totalprice > 100000) o ON c_custkey = o_custkey"
-
-
-@query("SELECT k AS k, n_name, c_name FROM (SELECT n_nationkey AS k, n_name FROM nation) JOIN (SELECT c_nationkey AS k, c_name FROM customer) USING (k)")
-def q_join_using(spark, d):
-    n = read(spark, d, "nation").select(F.col("n_nationkey").alias("k"), "n_name")
-    return n.join(read(spark, d, "customer").select(F.col("c_nationkey").alias("k"), "c_name"), "k").select("k", "n_name", "c_name")
-
-
-@query("SELECT * FROM (SELECT n_regionkey AS k, n_name FROM nation) NATURAL JOIN (SELECT r_regionkey AS k, r_name FROM region)")
-def q_join_natural(spark, d):
-    n = read(spark, d, "nation").select(F.col("n_regionkey").alias("k"), "n_name")
-    return relational.natural_join(n, read(spark, d, "region").select(F.col("r_regionkey").alias("k"), "r_name"))
-
-
-@query("SELECT p_partkey, s_suppkey FROM part JOIN supplier ON p_size > 48 AND s_acctbal > p_retailprice * 5")
-def q_join_theta(spark, d):
-    p, s = read(spark, d, "part").where("p_size > 48"), read(spark, d, "supplier")
-    return p.join(s, s.s_acctbal > p.p_retailprice * 5).select("p_partkey", "s_suppkey")
-
-
-@query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
-def q_semi_exists(spark, d):
-    o = read(spark, d, "orders").where("o_totalprice > 300000")
-    return read(spark, d, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
-
-
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
-def q_anti_not_exists(spark, d):
-    return read(spark, d, "customer").join(read(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
-
-
-@query("SELECT n_name FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name < 'B')")
-def q_in_subquery(spark, d):
-    return read(spark, d, "nation").join(read(spark, d, "region").where("r_name < 'B'"), F.col("n_regionkey") == F.col("r_regionkey"), "left_semi").select("n_name")
-
-
-@query("SELECT o_orderkey FROM orders WHERE o_totalprice > ALL (SELECT s_acctbal * 20 FROM supplier)")
-def q_quantified_all(spark, d):
-    s = read(spark, d, "supplier").select((F.col("s_acctbal") * 20).alias("x"))
-    return relational.compare_all(read(spark, d, "orders"), "o_totalprice", ">", s).select("o_orderkey")
-
-
-@query("SELECT o_orderkey FROM orders WHERE o_totalprice < ANY (SELECT s_acctbal FROM supplier)")
-def q_quantified_any(spark, d):
-    return relational.compare_all(read(spark, d, "orders"), "o_totalprice", "<", read(spark, d, "supplier").select("s_acctbal"), every=False).select("o_orderkey")
-
-
-@query("SELECT p_partkey FROM part WHERE p_retailprice > (SELECT avg(p_retailprice) FROM part)")
-def q_scalar_subquery(spark, d):
-    p = read(spark, d, "part")
-    return p.join(F.broadcast(p.agg(F.avg("p_retailprice").alias("a"))), F.col("p_retailprice") > F.col("a")).select("p_partkey")
-
-
-def _compound(kind: str, keep_all: bool):
-    def run(spark, d):
-        a = read(spark, d, "customer").select(F.col("c_nationkey").alias("k"))
-        return relational.compound(kind, a, read(spark, d, "supplier").select("s_nationkey"), keep_all)
-
-    return run
-
-
-for _kind in ("UNION", "INTERSECT", "EXCEPT"):
-    for _all in (False, True):
-        _name = f"q_{_kind.lower()}{'_all' if _all else ''}"
-        QUERIES[_name] = _compound(_kind, _all)
-        SQL[_name] = f"SELECT c_nationkey AS k FROM customer {_kind}{' ALL' if _all else ''} SELECT s_nationkey FROM supplier"
-
-
-@query("SELECT DISTINCT o_custkey, o_orderpriority FROM orders")
-def q_distinct(spark, d):
-    return read(spark, d, "orders").select("o_custkey", "o_orderpriority").distinct()
-
-
-@query("SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey, o_totalprice FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey")
-def q_distinct_on(spark, d):
-    return relational.distinct_on(read(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], [descending("o_totalprice"), ascending("o_orderkey")])
-
-
-@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 5")
-def q_topk_offset(spark, d):
-    return relational.top(read(spark, d, "orders").select("o_orderkey", "o_totalprice"), [descending("o_totalprice"), ascending("o_orderkey")], 20, 5)
-
-
-@query("""SELECT event_id, row_number() OVER (ORDER BY x ASC NULLS LAST, event_id) AS up, row_number() OVER (ORDER BY x DESC NULLS FIRST, event_id) AS down
-FROM (SELECT event_id, CASE WHEN event_type = 'error' THEN NULL ELSE value END AS x FROM events WHERE user_id = 7)""")
-def q_null_order(spark, d):
-    df = read(spark, d, "events").where("user_id = 7").withColumn("x", F.when(F.col("event_type") != "error", F.col("value")))
-    up, down = (Rel(df).ordered_by(x, "event_id").window() for x in ("x", descending("x")))
-    return df.select("event_id", F.row_number().over(up).alias("up"), F.row_number().over(down).alias("down"))
-
-
-@query("SELECT * FROM (VALUES (1, 'a'), (2, 'b'), (3, NULL)) AS t(v1, v2)")
-def q_values(spark, d):
-    return spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "v1 int, v2 string")
-
-
-@query("SELECT count(*) AS n, sum(l_quantity) AS s FROM lineitem WHERE l_quantity < 0")
-def q_empty_aggregate(spark, d):
-    return read(spark, d, "lineitem").where("l_quantity < 0").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("s"))
+# Relational core; most of it is in sql_queries.py, in the dialect
 
 
 @query("""SELECT coalesce(l_returnflag, '-') AS f, coalesce(l_linestatus, '-') AS s, count(*) AS n, grouping(l_returnflag) + 2 * grouping(l_linestatus) AS g

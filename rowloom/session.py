@@ -15,9 +15,12 @@ from rowloom.sources.registry import Registry
 class Engine:
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        spark.conf.set("spark.sql.timeType.enabled", "true")  # the dialect has TIME
         self.registry = Registry(spark)
         self.learners: dict[str, ml.Trained] = {}
         self.locations: dict[str, tuple[str, list[str]]] = {}
+        self.chosen: dict[str, str] = {}  # the DEFAULT and the CACHE location
+        self.explaining = False
         self.lowering = Lowering(spark, self.registry, self.learners)
 
     def register(self, name: str, df: DataFrame) -> None:
@@ -39,8 +42,26 @@ class Engine:
         return [self.run(s) for s in parse(text)]
 
     def run(self, statement: Node) -> DataFrame | None:
+        if self.explaining and statement[0] == "query":
+            return self.do_explain(statement[1])
         return getattr(self, "do_" + statement[0])(*statement[1:])
 
+    def do_explain_script(self, on: bool) -> None:
+        """From now on queries give their plans, until it is switched off."""
+        self.explaining = on
+
+    def do_schema(self, create: bool) -> None:
+        """The catalog of locations, tables and learners: Spark keeps the tables, so making it anew forgets what was added."""
+        for held in (self.locations, self.chosen, self.learners):
+            held.clear()
+
+    def do_set_location(self, kind: str, name: str) -> None:
+        if name.upper() not in self.locations:
+            raise ValueError(f"no location {name}")
+        self.chosen[kind] = name.upper()
+        if kind == "DEFAULT":
+            self.spark.sql(f"USE {name}")
+
     def do_query(self, query: Node) -> DataFrame:
         return self.relation(query).df
 
@@ -128,12 +149,25 @@ class Engine:
         self.locations.pop(name.upper(), None) if kind == "LOCATION" else self.spark.catalog.dropTempView(name)
 
     def do_list(self, words: list[str]) -> DataFrame:
-        what = words[1].upper() if len(words) > 1 else "TABLES"
+        """LIST, SHOW and DESCRIBE: locations, options, learners, tables, what a table's columns are, or tables of locations that weren't added."""
+        verb, what, *names = words[0].upper(), words[1].upper() if len(words) > 1 else "TABLES", *words[2:]
         if what.startswith("LOCATION"):
-            return self.spark.createDataFrame([(n, k, ", ".join(a)) for n, (k, a) in sorted(self.locations.items())], "location string, type string, params string")
+            marks = {n: " ".join(sorted(k for k, chosen in self.chosen.items() if chosen == n)) for n in self.locations}
+            return self.spark.createDataFrame([(n, k, ", ".join(a), marks[n]) for n, (k, a) in sorted(self.locations.items())], "location string, type string, params string, chosen string")
         if what.startswith("CLASSIFIER") or what.startswith("CLUSTERER"):
-            return self.spark.createDataFrame([(n, t.target) for n, t in sorted(self.learners.items()) if (t.target is not None) == what.startswith("CLASSIFIER")], "name string, target string")
+            learners = [(n, t.target) for n, t in sorted(self.learners.items()) if (t.target is not None) == what.startswith("CLASSIFIER")]
+            return self.spark.createDataFrame(learners, "name string, target string")
         if what in ("OPTIONS", "CONFIG"):
             return self.spark.sql("SET").select("key", "value")
+        if what == "REMAINING":
+            return self._remaining([n for n in names if n.upper() != "TABLES"])
+        if verb == "DESCRIBE" and what in ("TABLE", "VIEW") and names:
+            fields = self.spark.table(".".join(names)).schema.fields
+            return self.spark.createDataFrame([(i + 1, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(fields)], "position int, name string, type string, nullable boolean")
         found = sorted((t.name, t.tableType, t.isTemporary) for t in self.spark.catalog.listTables())
         return self.spark.createDataFrame(found, "name string, type string, temporary boolean")
+
+    def _remaining(self, names: list[str]) -> DataFrame:
+        added = {t.name.upper() for t in self.spark.catalog.listTables() if t.isTemporary}
+        rows = [(place, t.name) for place in names or sorted(self.locations) for t in self.spark.catalog.listTables(place) if not t.isTemporary and t.name.upper() not in added]
+        return self.spark.createDataFrame(sorted(rows), "location string, name string")

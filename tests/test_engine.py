@@ -134,3 +134,82 @@ def test_learners(engine, spark):
     engine.register("points", spark.createDataFrame([(float(i), "hi" if i > 20 else "lo") for i in range(40)], "x double, c string"))
     engine.execute("CREATE CLASSIFIER judge(c) USING SELECT x, c FROM points")
     assert sorted(run(engine, "SELECT x, guess FROM points CLASSIFIED WITH judge(guess) WHERE x IN (1, 30)")) == [(1.0, "lo"), (30.0, "hi")]
+
+
+def test_compounds_are_ordered_and_cut_as_a_whole(engine):
+    assert run(engine, "SELECT t FROM prices WHERE k = 'a' UNION SELECT 9 ORDER BY t DESC LIMIT 2") == [(9,), (4,)]
+    assert run(engine, "VALUES (3), (1) UNION ALL VALUES (2) ORDER BY 1") == [(1,), (2,), (3,)]
+    assert run(engine, "VALUES (1), (2) EXCEPT VALUES (2) UNION VALUES (2) ORDER BY 1") == [(1,), (2,)]
+    assert run(engine, "VALUES (2) UNION VALUES (1) EXCEPT VALUES (1) ORDER BY 1") == [(2,)]
+    assert run(engine, "VALUES (1) UNION VALUES (2) INTERSECT VALUES (2) ORDER BY 1") == [(1,), (2,)]
+    assert run(engine, "(SELECT t FROM prices WHERE k = 'a' ORDER BY t DESC LIMIT 1) UNION ALL (SELECT t FROM prices WHERE k = 'b' ORDER BY t LIMIT 1) ORDER BY t") == [(1,), (4,)]
+
+
+def test_subqueries_see_the_query_around_them(engine):
+    assert run(engine, "SELECT k, t FROM prices p WHERE price = (SELECT max(q.price) FROM prices q WHERE q.k = p.k) ORDER BY k") == [("a", 2), ("b", 2)]
+    assert run(engine, "SELECT DISTINCT k FROM prices p WHERE EXISTS (SELECT 1 FROM labels_ WHERE labels_.t = p.t AND p.t > 2)") == [("a",)]
+    assert run(engine, "SELECT t FROM labels_ WHERE t <> ALL (SELECT t FROM prices) ORDER BY t") == [(0,)]
+    assert run(engine, "SELECT t FROM labels_ WHERE t = ANY (SELECT t FROM prices WHERE k = 'b') ORDER BY t") == [(1,), (2,)]
+    assert run(engine, "SELECT t FROM labels_ WHERE t <> ALL (SELECT CASE WHEN t > 1 THEN t END FROM prices)") == []
+
+
+def test_order_reaches_string_agg_and_paths(engine, spark):
+    engine.register("letters", spark.createDataFrame([(1, 1, "z"), (1, 2, "m"), (1, 3, "b"), (1, 4, None)], "g int, t int, p string"))
+    assert run(engine, "SELECT string_agg(p, '-') AS s FROM letters ORDERED BY (t) GROUP BY g") == [("z-m-b",)]
+    assert run(engine, "SELECT string_agg(p, '-') AS s FROM letters ORDERED BY (t DESC) GROUP BY g") == [("b-m-z",)]
+    assert sorted(run(engine, "SELECT PATH('/') AS p, A.PATH('/') AS a FROM labels_ PARTITION BY g ORDERED BY (t) MATCH \"A+ B\" ON l")) == [("A/A/B", "A/A"), ("A/B", "A")]
+
+
+def test_functions_keep_whole_numbers(engine):
+    big = 2**53 + 1
+    assert run(engine, f"SELECT FLOOR(CAST('{big}' AS BIGINT)) AS a, CEIL(7) AS b, TRUNC(-7) AS c, DIV(CAST('{big}' AS BIGINT), 2) AS d, FLOOR(-2.5) AS e") == [(big, 7, -7, big // 2, -3.0)]
+    assert run(engine, "SELECT REPLACEFIRST('ab-cd', '([a-c])(.)', '<$2$1>') AS a, REPLACEFIRST('xyz', 'q', 'r') AS b") == [("<ba>-cd", "xyz")]
+
+
+def test_times(engine, spark):
+    import datetime
+
+    at = datetime.time
+    assert run(engine, "SELECT TIME '10:11:12' AS a, TIME_ADD(TIME '23:59:59', 2000) AS b, TIME_DIFF(TIME '10:00:00', TIME '09:59:00') AS c, DATE_PART('SECOND', TIME '10:11:12') AS d") == [(at(10, 11, 12), at(0, 0, 1), 60000, 12)]
+    df = spark.createDataFrame([("10:11", "1", "2020-01-01", "1e3"), ("23:59:59", "20000000000", "2020-01-01 10:00:00", "7"), (None, None, None, "x")], "a string, b string, c string, d string")
+    assert infer.infer_types(df).dtypes == [("a", "time(6)"), ("b", "bigint"), ("c", "date"), ("d", "string")]
+
+
+def test_moving_averages_in_sql_range_over_frames(engine):
+    df = engine.sql("SELECT k, t, T.movavg(price, 2) AS m, T.movstddev(price, 3) AS s FROM prices AS T PARTITION BY k ORDERED BY (t)")
+    plan = df._jdf.queryExecution().toString()
+    assert "collect_list" not in plan
+    assert "collect_list" not in engine.sql("SELECT T.expmovavg(price, 0.5) AS e FROM prices AS T PARTITION BY k ORDERED BY (t)")._jdf.queryExecution().toString()
+    assert [(r.t, r.m) for r in df.where("k = 'a'").orderBy("t").collect()] == [(1, 10.0), (2, 11.0), (3, 11.0), (4, 11.5)]
+
+
+def test_admin_statements(engine):
+    other = Engine(engine.spark)
+    other.execute("ADD LOCATION shelf AS H2MEM('x'); SET DEFAULT LOCATION = shelf")
+    try:
+        other.execute("CREATE TABLE boxes(a INT, b VARCHAR); SET CACHE LOCATION shelf")
+        assert [tuple(r) for r in other.execute("LIST LOCATIONS")[0].collect()] == [("SHELF", "H2MEM", "x", "CACHE DEFAULT")]
+        assert [(r.name, r.type) for r in other.execute("DESCRIBE TABLE shelf.boxes")[0].collect()] == [("a", "int"), ("b", "string")]
+        assert [tuple(r) for r in other.execute("LIST REMAINING TABLES shelf")[0].collect()] == [("shelf", "boxes")]
+        plans = other.execute("EXPLAIN SCRIPT ON; VALUES (1); EXPLAIN SCRIPT OFF; VALUES (1)")
+        assert plans[1].columns == ["plan"]
+        assert [tuple(r) for r in plans[3].collect()] == [(1,)]
+        with pytest.raises(ValueError, match="no location"):
+            other.execute("SET DEFAULT LOCATION = nowhere")
+        other.execute("DROP SCHEMA; CREATE SCHEMA")
+        assert other.execute("LIST LOCATIONS")[0].count() == 0
+    finally:
+        engine.spark.sql("USE default")
+        engine.spark.sql("DROP DATABASE IF EXISTS shelf CASCADE")
+
+
+def test_compare_all_of_equality(spark):
+    from rowloom.operators.relational import compare_all
+
+    df = spark.createDataFrame([(1,), (2,), (None,)], "x int")
+    values = lambda *v: spark.createDataFrame([(x,) for x in v], "y int")
+    assert rows(compare_all(df, "x", "=", values(1, None), every=False)) == [(1,)]
+    assert rows(compare_all(df, "x", "<>", values(1))) == [(2,)]
+    assert rows(compare_all(df, "x", "<>", values(1, None))) == []
+    assert len(rows(compare_all(df, "x", "<>", values()))) == 3
+    assert rows(compare_all(df, "x", "<>", values(1, 1), every=False)) == [(2,)]
