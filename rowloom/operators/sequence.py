@@ -87,11 +87,20 @@ def expmovavg(rel: Rel, column: str, decay: float, name: str) -> DataFrame:
 
 
 def arg(rel: Rel, *specs: tuple[str, Column]) -> DataFrame:
-    """Rows at which each optimum ("MIN" or "MAX", expression) is reached, all ties, nulls aside; several specs are concatenated."""
+    """Rows at which each optimum ("MIN" or "MAX", expression) is reached, all ties, nulls aside; several specs are concatenated.
+
+    Of a partition, each task keeps the best rows it has before they are shuffled (window group limit). Without a partition the optimum is an aggregate.
+    """
     found = []
     for kind, x in specs:
-        best = (F.min if kind.upper() == "MIN" else F.max)("_x").over(Window.partitionBy(*rel.partition))
-        found.append(rel.df.withColumn("_x", x).withColumn("_best", best).where("_x = _best").drop("_x", "_best"))
+        df = rel.df.withColumn("_x", x).where("_x IS NOT NULL")
+        if rel.partition:
+            order = F.col("_x").asc() if kind.upper() == "MIN" else F.col("_x").desc()
+            best = df.withColumn("_k", F.rank().over(Window.partitionBy(*rel.partition).orderBy(order))).where("_k = 1").drop("_k")
+        else:
+            optimum = df.agg((F.min if kind.upper() == "MIN" else F.max)("_x").alias("_best"))
+            best = df.join(F.broadcast(optimum), F.col("_x") == F.col("_best")).drop("_best")  # a single row
+        found.append(best.drop("_x"))
     return reduce(DataFrame.unionAll, found)
 
 

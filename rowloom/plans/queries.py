@@ -265,7 +265,9 @@ def q_match_text(spark, d):
     return match.match_text(by_user(spark, d), "(v+c|c+p)", letter)
 
 
-@query()
+@query("""WITH n AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+a AS (SELECT user_id, min(k) AS lo FROM n WHERE value < 40 GROUP BY 1), b AS (SELECT n.user_id, any_value(lo) AS lo, max(k) AS hi FROM n JOIN a USING (user_id) WHERE value > 60 AND k > lo GROUP BY 1)
+SELECT user_id, CAST(1 AS INTEGER) AS match_id, count(*) AS n, round(sum(value), 6) AS total, count(CASE WHEN value > 60 THEN 1 END) AS highs FROM n JOIN b USING (user_id) WHERE k BETWEEN lo AND hi GROUP BY user_id""")
 def q_match_labels(spark, d):
     rel = by_user(spark, d)
     df = match.label_column(rel, [("high", F.col("value") > 60), ("low", F.col("value") < 40), ("any", F.lit(True))])
@@ -325,9 +327,10 @@ def q_loess(spark, d):
     return transform.loess(e, "t", "value", ("user_id",))
 
 
-@query()
+@query(f"SELECT user_id, ts, event_id, value, round(sum(value) OVER {_W}, 6) AS total FROM events")
 def q_transform_join(spark, d):
-    return transform.join_transform(by_user(spark, d).having(read(spark, d, "events").select("user_id", "ts", "event_id", "value")), ["value"], lambda pdf: [(float(x),) for x in pdf["value"].cumsum()], {"total": "double"})
+    found = transform.join_transform(by_user(spark, d).having(read(spark, d, "events").select("user_id", "ts", "event_id", "value")), ["value"], lambda pdf: [(float(x),) for x in pdf["value"].cumsum()], {"total": "double"})
+    return found.withColumn("total", r(F.col("total")))
 
 
 # Learning
@@ -370,7 +373,10 @@ def _stream(spark, d, schema):
     return spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
 
 
-@query()
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts > lag(ts) OVER w + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
+SELECT min(ts) AS window_start, max(ts) + INTERVAL 6 HOUR AS window_end, user_id, count(*) AS n FROM s GROUP BY user_id, k""")
 def q_sessions(spark, d):
     e = read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return windows.sessions(e, "ts", "6 hours", [F.count(F.lit(1)).alias("n")], ("user_id",))
+    found = windows.sessions(e, "ts", "6 hours", [F.count(F.lit(1)).alias("n")], ("user_id",))
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -46,8 +47,18 @@ def running_average(events: DataFrame, key: str, time: str, value: str, decay: f
 
 
 def run_to_end(spark: SparkSession, stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Runs a streaming query over all that is there and gives its rows."""
-    name = f"out_{abs(hash(tempfile.mktemp())) % 10**9}"
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Runs a streaming query over all that is there and gives its rows, which tasks write to a folder that all share; the last batch has them all."""
+    folder = f"{_shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    write = lambda batch, _: batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/rows")
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    context = spark.sparkContext
+    if configured := context.getConf().get("spark.checkpoint.dir"):
+        return configured
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="rowloom-")
