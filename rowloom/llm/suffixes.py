@@ -1,13 +1,15 @@
-"""Byte-level substring deduplication by a suffix array built in blocks over a difference cover.
+"""Byte-level removal of repeated strings, by hashes of whole windows behind a difference-cover filter.
 
-Positions whose number in the document is in a difference cover modulo v are the cover sample: for any two suffixes there is a
-shift below v that brings both to sample positions. The ranks of the sample come first: a sample position's rank is the
-name of the `length - v + 1` bytes that follow it. Two equal strings of `length` bytes have, at the shared shift, sample
-positions of equal rank, so a suffix without a sample position of a repeated rank among its first v positions ties with no
-other for `length` bytes, and never enters a block. The suffixes that may tie are cut into buckets by the leading bits of
-their names (the order of suffixes is that of names, which serves equality as well as the order of letters), and one
-bucket at a time is sorted. A suffix is told whether a neighbour ties with it for all `length` bytes. Memory is bounded by
-a bucket, or a chunk of text, whatever the size of the corpus.
+Positions whose number in the document is in a difference cover modulo v are the cover sample: for any two places there is a
+shift below v that brings both to sample positions. A sample position's rank is a name of the `length - v + 1` bytes that
+follow it. Two equal strings of `length` bytes have, at the shared shift, sample positions of equal rank, so a place without a
+sample position of a repeated rank among its first v positions ties with no other for `length` bytes. The places that
+may tie are cut into buckets by the leading bits of the XXH3 of their `length` bytes, each bucket is sorted by these, and a
+place is told whether a neighbour has the same. Memory is bounded by a bucket, or a chunk of text, whatever the size of the corpus.
+
+This is not a suffix array: no suffixes are ordered by their letters, and sample ranks choose what is compared instead of
+resolving ties. Sorting suffixes by text would send hundreds of bytes for each of them through the shuffle. Equal hashes count as
+equal strings: with n places that may tie, two different strings are taken for equal with a probability of about n^2 / 2^65.
 
 Defined results: a null text counts as empty; matches stay within documents; null ids take part; every place of a repeated
 string goes, repeated rows included; an empty table gives an empty table.
@@ -19,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,7 +64,7 @@ def _letters() -> np.ndarray:
 
 
 def names(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """64-bit names of the `length` bytes from each of the sorted positions."""
+    """64-bit names of the `length` bytes from each of the sorted positions, all from one running sum; they only choose what to look at more closely."""
     out = np.empty(len(at), np.uint64)
     up, down = _powers(_SPAN + length)
     lo = 0
@@ -81,10 +84,17 @@ def names(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
+def whole_names(raw: bytes, at: np.ndarray, length: int) -> np.ndarray:
+    """XXH3 of the `length` bytes from each position: these decide, so no algebra of the text may make two of them equal."""
+    view, digest = memoryview(raw), xxhash.xxh3_64_intdigest
+    return np.fromiter((digest(view[i : i + length]) for i in at.tolist()), np.uint64, len(at))
+
+
 class Chunk:
     def __init__(self, ids: list[int | None], held: list[bytes | None], length: int):
         self.ids, self.held, self.length = ids, [t or b"" for t in held], length
-        self.data = np.frombuffer(b"".join(self.held), np.uint8)
+        self.raw = b"".join(self.held)
+        self.data = np.frombuffer(self.raw, np.uint8)
         self.sizes = np.array([len(t) for t in self.held], np.int64)
         self.begins = np.cumsum(self.sizes) - self.sizes
         self.v, self.cover = cover_below(length)
@@ -119,7 +129,7 @@ class Chunk:
         before = np.cumsum(repeated, dtype=np.int32)
         starts = self._inside(self.length)
         starts = starts[before[starts + self.v] > before[starts]]
-        found = names(self.data, starts, self.length)
+        found = whole_names(self.raw, starts, self.length)
         unique, _, again = distinct(found)
         return starts, found, unique, again
 

@@ -103,6 +103,33 @@ def test_suffixes(spark, docs, length, limit):
     same([(*r[:4], bytes(r[4])) for r in found], removed_bytes(docs, length))
 
 
+def thue_morse(k):
+    a, b = b"a", b"b"
+    for _ in range(k):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_suffixes_tell_thue_morse_texts_apart(spark):
+    a, b = (x.decode() for x in thue_morse(10))
+    docs = [(1, a), (2, b), (3, "x" + a[:700]), (4, "y" + b)]
+    found = rows(suffixes.remove_repeats(frame(spark, docs), 1024))
+    same([(*r[:4], bytes(r[4])) for r in found], removed_bytes(docs, 1024))
+    assert {r[0] for r in found if r[2]} == {2, 4}
+
+
+def test_suffixes_remove_passages_of_the_length_alone(spark):
+    rng = random.Random(21)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    docs, expected = [], {}
+    for k, size in enumerate((300, 398, 399, 400, 401, 900)):
+        passage = letters(size)
+        for side in (0, 1):
+            docs.append((2 * k + side, letters(50 + k) + "<" + "[{"[side] + passage + "]}"[side] + letters(60)))
+            expected[2 * k + side] = size if size >= 400 else 0
+    assert {r[0]: r[2] for r in rows(suffixes.remove_repeats(frame(spark, docs)))} == expected
+
+
 def test_difference_covers():
     for r in range(5):
         v, cover = suffixes.difference_cover(r)
