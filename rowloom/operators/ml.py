@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.feature import IndexToString, OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CLASSIFIERS = {"J48": DecisionTreeClassifier, "TREE": DecisionTreeClassifier, "FOREST": RandomForestClassifier, "LOGISTIC": LogisticRegression, "BAYES": NaiveBayes}
@@ -23,7 +24,16 @@ class Trained:
     kind: str = "string"
 
     def save(self, path: str) -> None:
-        self.model.write().overwrite().save(path)
+        """The model and what it takes and gives, in two folders of the path, which may be on any file system Spark reads."""
+        self.model.write().overwrite().save(f"{path}/model")
+        about = json.dumps({"features": self.features, "target": self.target, "kind": self.kind})
+        SparkSession.active().createDataFrame([(about,)], "about string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+
+
+def load(spark: SparkSession, path: str) -> Trained:
+    """What `Trained.save` wrote."""
+    about = json.loads(spark.read.text(f"{path}/about").first()[0])
+    return Trained(PipelineModel.load(f"{path}/model"), about["features"], about["target"], about["kind"])
 
 
 def _features(df: DataFrame, columns: list[str]) -> tuple[list, DataFrame]:

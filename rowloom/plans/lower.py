@@ -395,6 +395,8 @@ class Lowering:
             return A.aggregate(name, *[F.when(found, v) for v in values], distinct=distinct)
         if (ready := self.prepared.pop(id(node), None)) is not None:
             return ready
+        if qualifier is not None and qualifier[0].upper() == "PG_CATALOG" and (scope is None or "PG_CATALOG" not in scope.names):
+            qualifier = None
         if qualifier is not None:
             return self.running(scope.names[qualifier[0].upper()], name, arguments, scope)
         values = [self.expression(a, scope if scope is None else replace(scope, labels=None)) for a in arguments]

@@ -9,6 +9,7 @@ from rowloom.operators import ml
 from rowloom.plans.lower import Lowering, Scope
 from rowloom.plans.parser import Node, parse
 from rowloom.rel import Rel
+from rowloom.sources import pgcatalog
 from rowloom.sources.registry import Registry
 
 
@@ -17,6 +18,7 @@ class Engine:
         self.spark = spark
         spark.conf.set("spark.sql.timeType.enabled", "true")  # the dialect has TIME
         self.registry = Registry(spark)
+        pgcatalog.register_functions(spark)
         self.learners: dict[str, ml.Trained] = {}
         self.locations: dict[str, tuple[str, list[str]]] = {}
         self.chosen: dict[str, str] = {}  # the DEFAULT and the CACHE location
@@ -132,6 +134,13 @@ class Engine:
         else:
             self.learners[name.upper()] = ml.train_clusterer(df, int(options[1]) if len(options) > 1 else 3, *(str(o) for o in options[:1]))
 
+    def save_learner(self, name: str, path: str) -> None:
+        self.learners[name.upper()].save(path)
+
+    def load_learner(self, name: str, path: str) -> None:
+        """Makes a saved classifier or clusterer known by a name."""
+        self.learners[name.upper()] = ml.load(self.spark, path)
+
     def do_external_target(self, name: str, arguments: list, query: Node) -> None:
         self.registry.write(name, self.relation(query).df, *arguments)
 

@@ -5,7 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 #: Type numbers and sizes of the PostgreSQL catalog.
-TYPES = {"boolean": (16, "bool", 1), "bigint": (20, "int8", 8), "smallint": (21, "int2", 2), "int": (23, "int4", 4), "string": (25, "text", -1), "float": (700, "float4", 4), "double": (701, "float8", 8), "date": (1082, "date", 4), "time": (1083, "time", 8), "timestamp_ntz": (1114, "timestamp", 8), "timestamp": (1184, "timestamptz", 8), "binary": (17, "bytea", -1)}
+TYPES = {
+    "boolean": (16, "bool", 1),
+    "bigint": (20, "int8", 8),
+    "smallint": (21, "int2", 2),
+    "int": (23, "int4", 4),
+    "string": (25, "text", -1),
+    "float": (700, "float4", 4),
+    "double": (701, "float8", 8),
+    "date": (1082, "date", 4),
+    "time": (1083, "time", 8),
+    "timestamp_ntz": (1114, "timestamp", 8),
+    "timestamp": (1184, "timestamptz", 8),
+    "binary": (17, "bytea", -1),
+}
 SCHEMAS = {
     "PG_TYPE": "oid int, typname string, typnamespace int, typlen int, typtype string, typbasetype int",
     "PG_NAMESPACE": "oid int, nspname string",
@@ -15,8 +28,19 @@ SCHEMAS = {
 }
 
 
-def format_type(oid: int) -> str | None:
-    return next((name for name, (number, _, _) in TYPES.items() if number == oid), None)
+OWNER = "rowloom"  # the one owner of all tables, with the number 0
+
+
+def register_functions(spark: SparkSession) -> None:
+    """The catalog's functions, as SQL functions that the optimizer puts in their place."""
+    kinds = " ".join(f"WHEN {oid} THEN '{name}'" for name, (oid, _, _) in TYPES.items())
+    for head, returns, body in (
+        ("pg_get_userbyid(oid BIGINT)", "STRING", f"CASE WHEN oid IS NULL THEN NULL WHEN oid = 0 THEN '{OWNER}' ELSE CAST(raise_error('no user ' || oid) AS STRING) END"),
+        ("pg_table_is_visible(oid BIGINT)", "BOOLEAN", "true"),
+        ("pg_get_expr(expression STRING, oid BIGINT)", "STRING", "CAST(NULL AS STRING)"),
+        ("format_type(oid BIGINT, modifier INT DEFAULT NULL)", "STRING", f"CASE oid {kinds} END"),
+    ):
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURNS {returns} RETURN {body}")
 
 
 def catalog_table(spark: SparkSession, name: str) -> DataFrame:

@@ -271,3 +271,76 @@ def test_warping_is_as_cheap_as_any_path(margin):
         assert path[0] == (0, 0)
         assert path[-1] == (n - 1, n - 1)
         assert all((k - i, x - j) in ((0, 1), (1, 0), (1, 1)) for (i, j), (k, x) in zip(path, path[1:]))
+
+
+def test_catalog_functions(engine):
+    query = "SELECT PG_GET_USERBYID(0), PG_CATALOG.PG_TABLE_IS_VISIBLE(12), PG_GET_EXPR('x', 1), FORMAT_TYPE(20), FORMAT_TYPE(25, 3), FORMAT_TYPE(9)"
+    assert run(engine, query) == [("rowloom", True, None, "bigint", "string", None)]
+
+
+def test_bars(spark):
+    rel = Rel(spark.createDataFrame([("a", 1, 2.0), ("a", 2, 3.0), ("b", 1, 5.0)], "k string, t int, v double"), ("t",), ("k",))
+    side = {(r.k, r.t): (round(r.dodge, 6), round(r.barwidth, 6)) for r in transform.position("DODGE_BAR", rel, padding=0.4, outer_padding=0.2).collect()}
+    assert side == {("a", 1): (0.1, 0.3), ("a", 2): (0.6, 0.3), ("b", 1): (0.2, 0.6)}
+    high = {(r.k, r.t): (r.below, r.left, r.barwidth) for r in transform.position("stack_bar", rel, "v", padding=0.2).collect()}
+    assert high == {("a", 1): (0.0, 0.1, 0.8), ("a", 2): (2.0, 0.1, 0.8), ("b", 1): (0.0, 0.1, 0.8)}
+    assert transform.position("OFFSET", rel).count() == 3
+
+
+def test_stats_by_name(spark):
+    df = spark.createDataFrame([("a", 1.0, 10.0, 1.0), ("a", 1.5, 11.0, 1.0), ("a", 4.0, 14.0, 1.0), ("b", 7.0, 1.0, 1.0), ("b", None, 2.0, 1.0)], "k string, x double, y double, w double")
+    assert sorted(rows(transform.stat("hist", df, "x", binwidth=2))) == [(1.0, 3.0, 2), (3.0, 5.0, 1), (7.0, 9.0, 1)]
+    assert sorted(rows(transform.stat("BIN2D", df, "x", "y", ("k",), binwidth=2))) == [
+        ("a", 1.0, 3.0, 10.0, 12.0, 2, 1.0),
+        ("a", 3.0, 5.0, 14.0, 16.0, 1, 0.5),
+        ("b", 7.0, 9.0, 1.0, 3.0, 1, 1.0),
+    ]
+    even, weighed = (sorted(rows(transform.stat("LOESS", df, "x", "y", ("k",), bandwidth=1.0, weight=w))) for w in (None, "w"))
+    assert even == weighed and [r[:2] for r in even] == [("a", 1.0), ("a", 1.5), ("a", 4.0), ("b", 7.0)]
+    for bad in ({}, {"binwidth": 0}):
+        with pytest.raises(ValueError):
+            transform.stat("BIN", df, "x", **bad)
+
+
+def test_learners_are_saved_and_loaded(engine, spark, tmp_path):
+    engine.register("marks", spark.createDataFrame([(float(i), i > 20) for i in range(40)], "x double, c boolean"))
+    engine.execute("CREATE CLASSIFIER first(c) USING SELECT x, c FROM marks")
+    engine.save_learner("first", str(tmp_path / "held"))
+    engine.load_learner("second", str(tmp_path / "held"))
+    assert sorted(run(engine, "SELECT x, guess FROM marks CLASSIFIED WITH second(guess) WHERE x IN (1, 30)")) == [(1.0, False), (30.0, True)]
+
+
+def test_connection(spark):
+    import datetime
+
+    from rowloom import dbapi
+
+    with dbapi.connect(spark) as connection:
+        cursor = connection.cursor()
+        cursor.execute("SELECT ? AS a, ? AS b, '?' AS c, ? AS d, ? AS e -- why?\n", ["it's \\ here", -2, 1e-7, datetime.date(2024, 2, 29)])
+        assert [d[0] for d in cursor.description] == ["a", "b", "c", "d", "e"]
+        assert cursor.fetchall() == [("it's \\ here", -2, "?", 1e-7, datetime.date(2024, 2, 29))]
+        cursor.execute("SELECT n FROM SEQUENCE(10) ORDER BY n")
+        assert (cursor.fetchone(), cursor.fetchmany(2), len(list(cursor)), cursor.fetchone()) == ((0,), [(1,), (2,)], 7, None)
+        for text, values in (("SELECT ?", []), ("SELECT nothing FROM nowhere", [])):
+            with pytest.raises(dbapi.Error):
+                cursor.execute(text, values)
+
+
+def test_shell(spark, tmp_path):
+    import io
+
+    from rowloom.shell import Shell
+
+    (tmp_path / "script.sql").write_text("FORMAT CSV; VALUES (1, 'a;b'), (2, NULL);")
+    out = io.StringIO()
+    shell = Shell(Engine(spark), out)
+    shell.run(f"ECHO ON; SOURCE '{tmp_path}/script.sql'; ECHO OFF; FORMAT TABLE; TIME SELECT 'x;' AS long_name")
+    said = out.getvalue().replace("\r\n", "\n").splitlines()
+    assert said[0] == "VALUES (1, 'a;b'), (2, NULL);" and said[2:4] == ["1,a;b", "2,"]
+    assert said[4:7] == ["long_name", "x;", "(1 rows)"] and said[7].startswith("Time: ")
+    with pytest.raises(ValueError):
+        shell.run("FORMAT CSV NOTHING")
+    old = shell.engine
+    shell.run("RESET")
+    assert shell.engine is not old
