@@ -74,6 +74,11 @@ class LanguageModel:
         return lang, 1 - best / second, second < best * (1 + self.margin)
 
 
+def _limit(wanted: int, different: int) -> int:
+    """The 64-bit hash below which about `wanted` of so many different texts lie."""
+    return 2**63 - 1 if different <= wanted else (wanted << 64) // different - 2**63
+
+
 def fit(
     labelled: DataFrame,
     text_col: str = "text",
@@ -88,14 +93,20 @@ def fit(
 ) -> LanguageModel:
     """Learns from rows whose text and language aren't null; languages whose texts are all short or long learn from those.
 
-    The `most_languages` languages with the most rows are learned. The first texts of a language are found among those of
-    each of its `salts` parts, so no task ranks more than a part, or `salts` * `per_language` rows.
+    The `most_languages` languages with the most rows are learned. Hashes are spread evenly, so of a language with many
+    different texts only those with hashes below a limit, about three times `per_language` of them, are ranked; they are
+    ranked in `salts` parts first, so no task meets a language's other texts.
     """
     held = labelled.select(labelled[text_col].cast("string").alias("text"), labelled[lang_col].cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    counted = held.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages)
-    many = {lang: n for lang, n in counted.collect()}  # most_languages rows
     rank = F.struct((~F.length("text").between(shortest, longest)).alias("odd"), F.xxhash64("text").alias("h"))
-    each = held.where(F.col("lang").isin(*many)).select("lang", rank.alias("rank")).distinct().withColumn("part", F.pmod("rank.h", F.lit(salts)))
+    ranked = held.select("lang", rank.alias("rank"))
+    sizes = ranked.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *(F.approx_count_distinct(F.when(F.col("rank.odd") == odd, F.col("rank.h"))).alias(f"different{odd}") for odd in (False, True)))
+    counted = sizes.orderBy(F.desc("n"), "lang").limit(most_languages).collect()  # most_languages rows
+    many = {lang: n for lang, n, *_ in counted}
+    limits = [(lang, *(_limit(3 * per_language, n) for n in different)) for lang, _, *different in counted]
+    limit = F.broadcast(labelled.sparkSession.createDataFrame(limits, "lang string, usual long, odd long"))  # most_languages rows
+    below = F.col("rank.h") <= F.when(F.col("rank.odd"), F.col("odd")).otherwise(F.col("usual"))
+    each = ranked.join(limit, "lang").where(below).select("lang", "rank").distinct().withColumn("part", F.pmod("rank.h", F.lit(salts)))
     for group in (["lang", "part"], ["lang"]):
         each = each.withColumn("k", F.row_number().over(Window.partitionBy(*group).orderBy("rank"))).where(F.col("k") <= per_language).drop("k")
     chosen = each.select("lang", F.col("rank.h").alias("h"))  # per_language rows for each of most_languages
