@@ -512,6 +512,18 @@ def test_language_sample_is_that_of_a_plain_sort(spark):
     assert list(langid.fit(df, most_languages=1).dictionaries) == [next(iter(counts))] or len(langid.fit(df, most_languages=1).dictionaries) == 1
 
 
+def test_language_sample_of_many_texts_is_that_of_a_plain_sort(spark):
+    rng = random.Random(5)
+    learned = [(f"{i} " + " ".join(rng.choice("abcdefgh") * 3 for _ in range(rng.choice((5, 30)))), "en" if i % 3 else "de") for i in range(1500)]
+    learned += [("the one text that most rows have " * 3, "en")] * 1500
+    df = spark.createDataFrame(learned, "text string, lang string")
+    model = langid.fit(df, per_language=20, shortest=50, longest=200)
+    hashed = {t: h for t, h in df.selectExpr("text", "xxhash64(text)").collect()}
+    for lang in ("en", "de"):
+        first = sorted({(not 50 <= len(t) <= 200, hashed[t], t) for t, other in learned if other == lang})[:20]
+        assert model.dictionaries[lang] == b" ".join(langid.letters(t.encode()) for _, _, t in first)
+
+
 def test_language_prediction_is_the_least_sum():
     import zstandard
 
