@@ -24,33 +24,35 @@ def warp(distance: np.ndarray | Callable[[int, int], float], n: int, m: int, mar
     """Pairs of the cheapest warping path of sequences of n and m rows.
 
     Only the last min(n, m) rows of each take part. Costs are accumulated from the end, so that the path reads forward; of equal
-    costs the diagonal wins on the main diagonal, and off it the step along the row, then the diagonal.
+    costs the diagonal wins on the main diagonal, and off it the step along the row, then the diagonal. What is held is one
+    byte for each cell of the band.
     """
     size = min(n, m)
     if size == 0:
         return []
     cost = distance if callable(distance) else lambda i, j: distance[i, j]
     band = max(1, min(abs(margin) if margin is not None else size - 1, size - 1))
-    total = np.full((size, size), np.inf)
-    step = np.zeros((size, size), np.int8)
-    # In reversed order, cell (i, j) is reached from (i-1, j-1), (i-1, j) or (i, j-1).
+    # Cell (i, j) of the reversed order is reached from (i-1, j-1), (i-1, j) or (i, j-1); it lies in column j - i + band of the band.
+    step = np.zeros((size, 2 * band + 1), np.int8)
+    before = [np.inf] * (2 * band + 2)
     for i in range(size):
+        row = [np.inf] * (2 * band + 2)
         for j in range(max(0, i - band), min(size, i + band + 1)):
+            k = j - i + band
             d = cost(n - 1 - i, m - 1 - j)
             d = 0.0 if d is None or np.isnan(d) else float(d)
             if i == j == 0:
-                total[0, 0] = d
+                row[k] = d
                 continue
-            diagonal = (total[i - 1, j - 1] if i and j else np.inf, 0)
-            up = (total[i - 1, j] if i else np.inf, 1)
-            across = (total[i, j - 1] if j else np.inf, 2)
+            diagonal, up, across = (before[k], 0), (before[k + 1], 1), (row[k - 1] if k else np.inf, 2)
             order = (diagonal, up, across) if i == j else (across, diagonal, up) if j > i else (up, diagonal, across)
             best = min(order, key=lambda c: c[0])
-            total[i, j], step[i, j] = d + best[0], best[1]
+            row[k], step[i, k] = d + best[0], best[1]
+        before = row
     i = j = size - 1
     path = [(n - 1 - i, m - 1 - j)]
     while i or j:
-        s = step[i, j]
+        s = step[i, j - i + band]
         i, j = i - (s != 2), j - (s != 1)
         path.append((n - 1 - i, m - 1 - j))
     return path
@@ -81,10 +83,15 @@ def align(left: Rel, right: Rel, on: tuple[str, str], margin: int | None = None,
         return out
 
     def walk_given(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, m = int(pdf["_i"].max()), int(pdf["_j"].max())
-        table = np.full((n, m), np.nan)
-        table[pdf["_i"].to_numpy() - 1, pdf["_j"].to_numpy() - 1] = pdf["_d"].to_numpy()
-        path = warp(table, n, m, margin)
+        n, m = int(pdf["_n"].iloc[0]), int(pdf["_m"].iloc[0])
+        reach = min(n, m) - 1 if not margin else min(abs(margin), min(n, m) - 1)
+        table = np.full((n, 2 * reach + 1), np.nan)  # of row i, the places around the one that faces it from the end
+        i, j = pdf["_i"].to_numpy() - 1, pdf["_j"].to_numpy() - 1
+        k = j - i + (n - m) + reach
+        inside = (k >= 0) & (k <= 2 * reach)
+        table[i[inside], k[inside]] = pdf["_d"].to_numpy()[inside]
+        distances = lambda i, j: table[i, k] if 0 <= (k := j - i + (n - m) + reach) <= 2 * reach else np.nan
+        path = warp(distances, n, m, margin)
         out = pd.DataFrame({"_i": [i + 1 for i, _ in path], "_j": [j + 1 for _, j in path], "_step": range(len(path))}).astype("int32")
         for k in reversed(keys):
             out.insert(0, k, pdf[k].iloc[0])
@@ -94,8 +101,12 @@ def align(left: Rel, right: Rel, on: tuple[str, str], margin: int | None = None,
         paths = x.unionByName(y).groupBy(*keys).applyInPandas(walk, schema)
     else:
         sizes = a.groupBy(*keys).agg(F.max("_i").alias("_n")).join(b.groupBy(*keys).agg(F.max("_j").alias("_m")), keys)
-        pairs = a.join(b, keys).join(sizes, keys)
-        band = F.abs((F.col("_n") - F.col("_i")) - (F.col("_m") - F.col("_j"))) <= (abs(margin) if margin else 1 << 30)
-        given = pairs.where(band | (F.col("_i") == F.col("_n")) & (F.col("_j") == F.col("_m"))).select(*keys, "_i", "_j", distance(a[on[0]], b[on[1]]).cast("double").alias("_d"))
+        # Pairs outside the band are never made: each left row names the places that it may face.
+        facing, reach = F.col("_m") - (F.col("_n") - F.col("_i")), F.lit(abs(margin)) if margin else F.greatest("_n", "_m")
+        first, last = F.greatest(F.lit(1), facing - reach), F.least(F.col("_m"), facing + reach)
+        places = F.when(first <= last, F.sequence(first, last))
+        reached = a.select(*keys, "_i", a[on[0]].alias("_x")).join(sizes, keys).withColumn("_j", F.explode(places))
+        facts = [*keys, "_i", "_j", "_n", "_m"]
+        given = reached.join(b.select(*keys, "_j", b[on[1]].alias("_y")), [*keys, "_j"]).select(*facts, distance(F.col("_x"), F.col("_y")).cast("double").alias("_d"))
         paths = given.groupBy(*keys).applyInPandas(walk_given, schema)
     return a.join(paths, [*keys, "_i"]).join(b, [*keys, "_j"]).drop("_i", "_j")

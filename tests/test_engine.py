@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from rowloom.operators import align, infer, match, sequence, transform
 from rowloom.plans.parser import parse
@@ -344,3 +347,13 @@ def test_shell(spark, tmp_path):
     old = shell.engine
     shell.run("RESET")
     assert shell.engine is not old
+
+
+@pytest.mark.parametrize("margin", [None, 1, 3])
+def test_alignment_by_a_given_distance_is_that_of_numbers(spark, margin):
+    rng = random.Random(8)
+    sides = [[(k, t, float(rng.randint(0, 6))) for k, n in enumerate(sizes) for t in range(n)] for sizes in ((7, 1, 5, 9), (4, 1, 8, 9))]
+    left, right = (Rel(spark.createDataFrame(rows, f"k int, {c}t int, {c}v double"), order=(F.col(f"{c}t"),), partition=("k",)) for rows, c in zip(sides, "ab", strict=True))
+    found = [align.align(left, right, ("av", "bv"), margin, d) for d in (None, lambda x, y: F.abs(x - y))]
+    plain, given = (sorted(df.select("k", "_step", "at", "bt").collect()) for df in found)
+    assert plain == given and len(plain) >= 18
