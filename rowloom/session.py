@@ -8,6 +8,7 @@ from rowloom.functions import casts
 from rowloom.operators import ml
 from rowloom.plans.lower import Lowering, Scope
 from rowloom.plans.parser import Node, parse
+from rowloom.plans.plot import Planner, Plot
 from rowloom.rel import Rel
 from rowloom.sources import pgcatalog
 from rowloom.sources.registry import Registry
@@ -35,6 +36,10 @@ class Engine:
             raise ValueError("sql() runs one query; use execute() for other statements")
         return self.relation(statements[0][1]).df
 
+    def plot(self, text: str) -> Plot:
+        """The specification and the layers of a query with PLOT."""
+        return Planner(self.lowering).plot(text)
+
     def relation(self, query: Node) -> Rel:
         rel = self.lowering.rel(query)
         return rel.having(rel.df.drop("_labels", "_all"))
