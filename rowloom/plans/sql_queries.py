@@ -18,14 +18,16 @@ def dialect(name: str, text: str, sql: str | None = None) -> None:
     TEXTS[name] = text, sql
 
 
-def run(text: str) -> Callable[[SparkSession, str], DataFrame]:
+def run(text: str, layer: int | None = None) -> Callable[[SparkSession, str], DataFrame]:
+    """A query's rows, or those of one layer of its plot."""
+
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         engine = Engine(spark)
         words = set(re.findall(r"\w+", text.lower()))
         for name in TABLES:
             if name in words:
                 engine.register(name, spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-        return engine.sql(text)
+        return engine.sql(text) if layer is None else engine.plot(text).subplots[0][layer].df
 
     return query
 
@@ -235,5 +237,24 @@ dialect(
     SELECT out_lo, out_hi, i.o_custkey, o_orderkey FROM i JOIN p ON p.o_custkey = i.o_custkey AND out_lo >= lo AND out_hi <= hi""",
 )
 
-QUERIES = {name: run(text) for name, (text, _) in TEXTS.items()}
-SQL = {name: sql or text for name, (text, sql) in TEXTS.items()}
+#: name -> (a query with its plot, the layer whose rows are asked for, the SQL of these rows)
+PLOTS = {
+    "sql_plot_bins": (
+        "SELECT * FROM lineitem PLOT (GEOM = POINT(X = l_quantity, Y = l_tax), GROUP = l_returnflag, STAT = BIN(BINWIDTH = 8, MIN = 0)) FACET (ROWS = l_linestatus)",
+        0,
+        """SELECT l_linestatus AS facet_row, l_returnflag AS "group", floor(l_quantity / 8) * 8.0 AS xmin, floor(l_quantity / 8) * 8.0 + 8 AS xmax, count(*) AS freq, count(*) AS tooltip
+        FROM lineitem GROUP BY l_linestatus, l_returnflag, floor(l_quantity / 8)""",
+    ),
+    "sql_plot_stack": (
+        """SELECT event_type, user_id % 10 AS part, COUNT(*) AS n FROM events GROUP BY event_type, user_id % 10
+        PLOT (GEOM = BAR(X = part, Y = n), FILL = event_type, GROUP = event_type, MARK(n > 100, FILL = 'red'), POSITION = STACK ORDER BY event_type)""",
+        0,
+        """SELECT part AS x, n AS y, event_type AS "group", event_type AS fill, n > 100 AS mark0,
+        CAST(coalesce(sum(n) OVER (PARTITION BY part ORDER BY event_type ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS below,
+        CAST(row_number() OVER (PARTITION BY part ORDER BY event_type) - 1 AS INTEGER) AS stackindex
+        FROM (SELECT event_type, user_id % 10 AS part, count(*) AS n FROM events GROUP BY 1, 2)""",
+    ),
+}
+
+QUERIES = {name: run(text) for name, (text, _) in TEXTS.items()} | {name: run(text, layer) for name, (text, layer, _) in PLOTS.items()}
+SQL = {name: sql or text for name, (text, sql) in TEXTS.items()} | {name: sql for name, (_, _, sql) in PLOTS.items()}
