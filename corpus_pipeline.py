@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm import langid, minhash, packing, substrings, toxicity
+from rowloom.llm import langid, near, packing, substrings, toxicity
 from rowloom.llm.common import shared_folder, table
 
 ORACLE_SQL = None
@@ -32,11 +32,11 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates (0.8 of the five-word shingles, by MinHash and exact sets) the row with the smallest id, once.
+    """Of each class of near-duplicates (0.8 of the five-word shingles, found by SimHash pivot tables, decided by exact sets) the row with the smallest id, once.
 
     Rows that share an id are told apart by their other columns; rows without an id all stay.
     """
-    return minhash.first_of_each(docs, words=5, share=(4, 5))
+    return near.first_of_each(docs, words=5, share=(4, 5))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

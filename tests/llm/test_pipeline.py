@@ -140,3 +140,32 @@ def test_substring_dedup_keeps_each_row_with_its_own_text(spark, corpus):
     assert found.dtypes == docs.dtypes
     wanted = [(i, "own" if t and t.startswith("own") else t, lang, source, None if t is None else 3 if t.startswith("own") else len(t), *rest) for i, t, lang, source, _, *rest in rows]
     assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, wanted))
+
+
+def test_wide_simhash_finds_pairs_of_the_least_similarity():
+    rng = np.random.default_rng(5)
+    some = lambda n: rng.integers(0, 2**64, n, dtype=np.uint64)
+    for n in (1000, 300_000):
+        wide = simhash.Wide.of((4, 5), n)
+        common = [some(80) for _ in range(300)]
+        left, right = (np.array([wide.fingerprint(np.concatenate([c, some(10)])) for c in common]) for _ in range(2))  # 80 of 100 in both
+        shared = wide.keys(left) == wide.keys(right)
+        assert shared.any(1).all()
+        assert 0.5 < shared.mean() / 0.848**wide.bits < 2  # equal segments, and no others, have equal distances
+        assert (wide.keys(left) == wide.keys(left[::-1])).mean() < 2 * 0.5**wide.bits
+        labels = wide.labels(np.concatenate([left, right])[:, :3])
+        assert (labels[:300] == labels[300:]).all()
+        assert len(set(labels.tolist())) == 300
+
+
+def test_near_dedup_looks_up_simhash_pivot_tables(spark):
+    rng = np.random.default_rng(6)
+    some = lambda n: rng.integers(0, 2**64, n, dtype=np.uint64)
+    wide = simhash.Wide.of((4, 5), 10**6)
+    common = [some(160) for _ in range(200)]
+    prints = [(2 * i + k, wide.fingerprint(np.concatenate([c, some(20)])).tobytes()) for i, c in enumerate(common) for k in (0, 1)]
+    found = wide.near(spark.createDataFrame(prints, "node long, print binary").repartition(3)).collect()
+    groups = {}
+    for bucket, node in found:
+        groups.setdefault(bucket, set()).add(node)
+    assert {frozenset(g) for g in groups.values()} == {frozenset((2 * i, 2 * i + 1)) for i in range(200)}
