@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import batched, remainder, rows, texts
+from rowloom.llm.common import batched, give_back, remainder, rows, texts
 from rowloom.llm.segments import Memory
 
 SCORED = "doc_id long, score double, predicted int"
@@ -157,6 +157,7 @@ def calibrated(sample: list[tuple[bytes, int]], clean_kept: float = 0.985, toxic
     least = min(map(len, logit.values()))
     if model.weights is not None and least:
         model.bias -= max(0.0, min(np.quantile(logit[0], clean_kept), np.quantile(logit[1], 1 - toxic_found))) * least / (least + 1)
+    model._known = model._grams = model._list = None  # what was remembered of the sample's words
     return model
 
 
@@ -174,7 +175,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     one = own.join(F.broadcast(small), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least"))
     text_of = {i: bytes(t) for i, t in one.select("doc_id", "least.text").collect()}  # most_rows * longest bytes at most
     sample = [(text_of[i], y) for i, y, times in ids for _ in range(min(times, most_rows)) if i in text_of]
-    return calibrated(sample[:most_rows], **options)
+    model = calibrated(sample[:most_rows], **options)
+    del sample, text_of
+    give_back()  # a driver has other stages to run
+    return model
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

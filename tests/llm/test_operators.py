@@ -611,3 +611,10 @@ def test_language_id_takes_repeated_rows_and_very_long_texts(spark):
     model = langid.LanguageModel({"en": b"the quick brown fox jumps over the lazy dog " * 20, "de": b"der schnelle braune fuchs springt " * 20})
     asked = [(1, "the lazy dog " * 50_000), (1, "the lazy dog " * 50_000), (1, "der braune fuchs"), (None, None), (None, None)]
     assert Counter((r[0], r[1]) for r in rows(langid.predict(frame(spark, asked), model))) == Counter([(1, "en"), (1, "en"), (1, "de"), (None, "und"), (None, "und")])
+
+
+def test_toxicity_model_keeps_nothing_of_its_sample():
+    texts = [(f"w{i % 7} w{i % 11} " + ("idiotic worthless" if i % 4 == 0 else "kind words")) for i in range(200)]
+    model = toxicity.calibrated([(t.encode(), int("idiotic" in t)) for t in texts])
+    assert model.weights is not None
+    assert model._known is model._grams is model._list is None
