@@ -13,6 +13,7 @@ row; bytes that aren't UTF-8 are replaced by U+FFFD before encoding; an empty ta
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +23,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import input_bytes, texts
+from rowloom.llm.common import give_back, input_bytes, texts
 from rowloom.llm.exchange import BLOCK_ARROW, BLOCK_SCHEMA, TEXT_ARROW, TEXT_SCHEMA, bucket_bits, chunks, meet, pack_planes, unpack_planes
 from rowloom.llm.segments import pattern, pieces, rank_encoding, rank_table
 
 IDS_SCHEMA = "doc_id long, ids array<int>"
 DECODED_SCHEMA = "doc_id long, ids array<int>, decoded binary"
+#: Tokens that are decoded at a time.
+_DECODED_AT_ONCE = 1 << 18
 #: Marks that form a pre-token of their own at the end of a word.
 _MARKS = frozenset(".,;:!?")
 
@@ -94,6 +97,8 @@ def _word_blocks(source: str, bits: int, limit: int):
             payloads = [zstandard.compress(np.array([len(w) for w in words], "<u4").tobytes() + b"".join(words), 1) for _, words, _ in found]
             payloads = [struct.pack("<q", len(words)) + p for (_, words, _), p in zip(found, payloads, strict=True)]
             yield pa.record_batch([pa.array([chunk] * len(found), pa.int64()), pa.array([b for b, _, _ in found], pa.int32()), pa.array(payloads, pa.binary())], schema=BLOCK_ARROW)
+            del held, found, payloads
+            give_back(cycles=False)  # an executor has more workers than tasks, and each would keep what a chunk took
 
     return run
 
@@ -137,12 +142,15 @@ def _position_blocks(source: str, limit: int):
             table = zstandard.compress(np.array([len(w) for w in words], "<u4").tobytes() + b"".join(words), 1)
             payload = struct.pack("<4q", len(ids), len(index), len(words), len(table)) + head + index + table
             yield pa.record_batch([pa.array([chunk], pa.int64()), pa.array([payload], pa.binary())], schema=TEXT_ARROW)
+            del held, explode, placed, index, words, table, payload
+            give_back(cycles=False)
 
     return run
 
 
 def _reassemble(bits: int):
     def run(_, states: pa.Table, replies: pa.Table) -> pa.Table:
+        give_back(cycles=False)
         answers = dict(zip(*(replies.column(c).to_pylist() for c in ("bucket", "payload")), strict=True))
         out_ids, offsets, flat = [], [0], []
         for payload in states.column("payload").to_pylist():
@@ -187,6 +195,17 @@ def encode(docs: DataFrame, ranks_path: str, source: str, id_col: str = "doc_id"
     return meet(states, replies.withColumn("level", F.lit(0)), _reassemble(bits), IDS_SCHEMA)
 
 
+def _parts(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch of (doc_id, ids) in order, in parts of at most `most` ids, or of a single row."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(batch):
+        before = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """Adds decoded, the bytes of (doc_id, ids): each id is looked up in the token-byte table. Null ids arrays give null; an id outside the table is an error."""
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.binary())])
@@ -197,14 +216,18 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
         for token, rank in ranks.items():
             tokens[rank] = token
         table = pa.array(tokens, pa.large_binary())
-        for batch in batches:
-            lists = batch.column(1).cast(pa.list_(pa.int32()))
-            flat = table.take(lists.flatten())  # the bytes of all tokens, end to end
-            ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
-            places = np.frombuffer(flat.buffers()[1], np.int64, len(flat) + 1, 8 * flat.offset) if len(flat) else np.zeros(1, np.int64)
-            whole = pa.Array.from_buffers(pa.large_binary(), len(batch), [None, pa.py_buffer(places[ends].tobytes()), flat.buffers()[2] or pa.py_buffer(b"")])
-            decoded = pc.if_else(lists.is_null(), pa.scalar(None, pa.large_binary()), whole).cast(pa.binary())
-            yield pa.record_batch([batch.column(0), lists, decoded], schema=schema)
+        for whole_batch in batches:
+            for batch in _parts(whole_batch, _DECODED_AT_ONCE):
+                lists = batch.column(1).cast(pa.list_(pa.int32()))
+                flat = table.take(lists.flatten())  # the bytes of all tokens, end to end
+                ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+                places = np.frombuffer(flat.buffers()[1], np.int64, len(flat) + 1, 8 * flat.offset) if len(flat) else np.zeros(1, np.int64)
+                whole = pa.Array.from_buffers(pa.large_binary(), len(batch), [None, pa.py_buffer(places[ends].tobytes()), flat.buffers()[2] or pa.py_buffer(b"")])
+                decoded = pc.if_else(lists.is_null(), pa.scalar(None, pa.large_binary()), whole).cast(pa.binary())
+                yield pa.record_batch([batch.column(0), lists, decoded], schema=schema)
+                del lists, flat, places, whole, decoded
+            whole_batch = batch = None
+            give_back(cycles=False)
 
     return encoded.select("doc_id", "ids").mapInArrow(run, DECODED_SCHEMA)
 

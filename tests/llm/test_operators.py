@@ -618,3 +618,12 @@ def test_toxicity_model_keeps_nothing_of_its_sample():
     model = toxicity.calibrated([(t.encode(), int("idiotic" in t)) for t in texts])
     assert model.weights is not None
     assert model._known is model._grams is model._list is None
+
+
+def test_bpe_decodes_a_batch_in_parts(spark, monkeypatch):
+    batch = bpe.pa.record_batch({"doc_id": [1, 2, 3, 4, 5, 6], "ids": bpe.pa.array([[1, 2], None, [], [3] * 9, [4], [5, 6, 7]], bpe.pa.list_(bpe.pa.int32()))})
+    for most, sizes in ((1, [1, 2, 1, 1, 1]), (4, [3, 1, 2]), (100, [6])):
+        parts = list(bpe._parts(batch, most))
+        assert [len(p) for p in parts] == sizes
+        assert bpe.pa.Table.from_batches(parts).to_pylist() == batch.to_pylist()
+    assert not list(bpe._parts(batch.slice(0, 0), 4))
