@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import zlib
 from functools import lru_cache
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import batched, checkpoint, rows, texts
+from rowloom.llm.common import batched, checkpoint, give_back, rows, texts
 from rowloom.llm.segments import Memory, pieces
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
@@ -44,9 +45,25 @@ def _byte_encoder(path: str):
     special = {t["content"] for t in model["added_tokens"]}
     ranks = {bytes(byte_of[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
     source = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""  # fixed value: the byte-level pre-tokenizer's pattern
-    encode = tiktoken.Encoding("file", pat_str=source, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
-    pack = lambda text: np.array(encode(text), "<u4").tobytes()
-    return pack, Memory(lambda piece: pack(" " + piece))
+    core = tiktoken.Encoding("file", pat_str=source, mergeable_ranks=ranks, special_tokens={})._core_bpe
+    encode, single = core.encode_ordinary, core.encode_single_piece
+    pack = lambda text: struct.pack(f"<{len(ids := encode(text))}I", *ids)
+    mark_ids = {mark: pack(mark) for mark in ".,;:!?"}
+
+    def pack_piece(piece: str) -> bytes:
+        """The ids of a space and a piece. ASCII letters, and one mark after them, are what the pattern would find, so they need no search."""
+        if piece.isascii():
+            if piece.isalpha():
+                ids = single(b" " + piece.encode())
+                return struct.pack(f"<{len(ids)}I", *ids)
+            if piece[-1:] in mark_ids and piece[:-1].isalpha():
+                return known[piece[:-1]] + mark_ids[piece[-1]]
+        return pack(" " + piece)
+
+    known = Memory(pack_piece)
+    del model, ranks, special
+    give_back()  # an executor has more workers than tasks, and each reads the file
+    return pack, known
 
 
 @lru_cache(maxsize=2)
@@ -65,15 +82,19 @@ def ids_of(raw: bytes | None, path: str) -> bytes:
     pattern, ids = _added(path)
     text = (raw or b"").decode("utf-8", "replace")
     if not pattern or not pattern.search(text):
-        return tokens(raw, path)
+        return _tokens(text, path)
     between, found = pattern.split(text), [*map(ids.__getitem__, pattern.findall(text)), b""]
-    return b"".join((tokens(part.encode(), path) if part else b"") + own for part, own in zip(between, found, strict=True))
+    return b"".join((_tokens(part, path) if part else b"") + own for part, own in zip(between, found, strict=True))
 
 
 def tokens(raw: bytes | None, path: str) -> bytes:
     """The ids of a text without added tokens as little-endian 32-bit values; `ids_of` looks for those first."""
+    return _tokens((raw or b"").decode("utf-8", "replace"), path)
+
+
+def _tokens(text: str, path: str) -> bytes:
     pack, known = _byte_encoder(path)
-    first, *rest = pieces((raw or b"").decode("utf-8", "replace"))
+    first, *rest = pieces(text)
     return pack(first) + b"".join(map(known.__getitem__, rest))
 
 

@@ -620,6 +620,16 @@ def test_toxicity_model_keeps_nothing_of_its_sample():
     assert model._known is model._grams is model._list is None
 
 
+def test_packed_pieces_with_a_mark_share_the_memory_of_their_word():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    pack, known = packing._byte_encoder(path)
+    known.clear()
+    known.before.clear()
+    for piece in ["unheardof,", "unheardof.", "naïve,", "x's,", "12,", "a..", ",", ".a", "don't", "Ωmega!", "word́,", "日本。", "", "a_b;", "q" * 40 + "?"]:
+        assert known[piece] == pack(" " + piece)
+    assert "unheardof" in known
+
+
 def test_bpe_decodes_a_batch_in_parts(spark, monkeypatch):
     batch = bpe.pa.record_batch({"doc_id": [1, 2, 3, 4, 5, 6], "ids": bpe.pa.array([[1, 2], None, [], [3] * 9, [4], [5, 6, 7]], bpe.pa.list_(bpe.pa.int32()))})
     for most, sizes in ((1, [1, 2, 1, 1, 1]), (4, [3, 1, 2]), (100, [6])):
