@@ -194,7 +194,7 @@ class Wide:
     sets of four and five). Segments are as long as leaves a key about 4,096 of the unrelated fingerprints, and as many as leave a
     pair of just this similarity without a common key with a probability of 3 in a million. Under a key, pairs whose
     coordinates at the global pivots differ by more than `limit` are discarded, then those that differ in more bits of three words
-    (a linked pair does with a probability of about one in a billion, sets of four and five one in 500,000).
+    (a linked pair does with a probability of about one in a billion, sets of four and five one in 400,000).
     """
 
     bits: int
