@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: SQL spellings and the Spark types that hold them.
@@ -16,6 +16,11 @@ TYPES = {
 INTEGRAL = ("smallint", "int", "bigint")
 
 
+def allow_time(spark: SparkSession) -> None:
+    """Spark has TIME only where it is switched on; whatever casts to it must ask first."""
+    spark.conf.set("spark.sql.timeType.enabled", "true")
+
+
 def spark_type(name: str, *arguments: int) -> str:
     """The Spark type of a SQL type; an exact numeric of scale 0 is the smallest integer that holds it, others are doubles."""
     upper = re.sub(r"\s+", " ", name.strip().upper())

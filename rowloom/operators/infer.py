@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowloom.functions import casts
+
 #: Shapes that a value can have; a value that has the shape is cast once to see that it fits.
 _WHOLE = r"^\s*[+-]?\d{1,19}\s*$"
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?[dDfF]?\s*$|^\s*[+-]?(?i:inf|infinity|nan)\s*$"
@@ -48,6 +50,7 @@ def infer_types(df: DataFrame, columns: list[str] | None = None, nulls: list[str
     texts = [c for c in (columns or df.columns) if kinds[c] == "string"]
     if not texts:
         return df
+    casts.allow_time(df.sparkSession)
     known = df.select([F.when(~F.col(c).isin(*nulls), F.col(c)).alias(c) if nulls and c in texts else F.col(c) for c in df.columns])
     sample = known.select(texts) if limit is None else known.select(texts).limit(limit)
     facts = sample.agg(*[F.coalesce(F.bit_or(_kind(F.col(c))), F.lit(0)).alias(str(i)) for i, c in enumerate(texts)]).first()

@@ -17,7 +17,7 @@ from rowloom.sources.registry import Registry
 class Engine:
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        spark.conf.set("spark.sql.timeType.enabled", "true")  # the dialect has TIME
+        casts.allow_time(spark)
         self.registry = Registry(spark)
         pgcatalog.register_functions(spark)
         self.learners: dict[str, ml.Trained] = {}

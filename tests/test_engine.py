@@ -123,6 +123,16 @@ def test_typeinfer(spark, values, kind, nulls):
     assert infer.infer_types(spark.createDataFrame([(v,) for v in values], "x string"), nulls=nulls).dtypes == [("x", kind)]
 
 
+@pytest.mark.parametrize(("values", "kind"), [(["10:30", "23:59:59.5"], "time(6)"), (["1", "x"], "string"), (["1", "2"], "int")])
+def test_typeinfer_in_a_session_without_an_engine(spark, values, kind):
+    spark.conf.set("spark.sql.timeType.enabled", "false")
+    try:
+        found = infer.infer_types(spark.createDataFrame([(v,) for v in values], "x string"))
+        assert (found.dtypes, found.count()) == ([("x", kind)], len(values))
+    finally:
+        spark.conf.set("spark.sql.timeType.enabled", "true")
+
+
 def test_loess_follows_a_line():
     import numpy as np
 
