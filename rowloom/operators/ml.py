@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -11,9 +12,12 @@ from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.feature import IndexToString, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 CLASSIFIERS = {"J48": DecisionTreeClassifier, "TREE": DecisionTreeClassifier, "FOREST": RandomForestClassifier, "LOGISTIC": LogisticRegression, "BAYES": NaiveBayes}
 CLUSTERERS = {"KMEANS": KMeans, "BISECTING": BisectingKMeans, "MIXTURE": GaussianMixture}
+#: Spark's clusterers hold their points in memory, about 170 bytes each, and read them in every pass: so many distinct ones are in a partition.
+POINTS_IN_A_TASK = 500_000
 
 
 @dataclass
@@ -65,9 +69,19 @@ def train_classifier(df: DataFrame, target: str, algorithm: str = "TREE", **opti
 
 
 def train_clusterer(df: DataFrame, k: int = 3, algorithm: str = "KMEANS", seed: int = 1, **options) -> Trained:
+    """Every row counts: equal rows are one point that weighs as much as they do, and the order of points doesn't depend on the partitions of the rows."""
     stages, ready = _features(df, df.columns)
-    learner = CLUSTERERS[algorithm.upper()](featuresCol="_features", predictionCol="_cluster", k=k, seed=seed, **options)
-    return Trained(Pipeline(stages=[*stages, learner]).fit(ready), df.columns)
+    ready = ready.select([c for c in ready.columns if c not in df.columns])
+    prepared = Pipeline(stages=stages).fit(ready)
+    points = ready.groupBy(*ready.columns).agg(F.count(F.lit(1)).cast("double").alias("_weight")).persist(StorageLevel.DISK_ONLY)
+    try:
+        parts = math.ceil(max(points.count(), 1) / POINTS_IN_A_TASK)
+        dealt = points.coalesce(1) if parts == 1 else points.repartitionByRange(parts, *ready.columns)
+        learner = CLUSTERERS[algorithm.upper()](featuresCol="_features", predictionCol="_cluster", weightCol="_weight", k=k, seed=seed, **options)
+        learnt = learner.fit(prepared.transform(dealt.sortWithinPartitions(*ready.columns)))
+    finally:
+        points.unpersist()
+    return Trained(PipelineModel([*prepared.stages, learnt]), df.columns)
 
 
 def _predicted(df: DataFrame, trained: Trained, output: str) -> DataFrame:

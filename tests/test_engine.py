@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rowloom.operators import align, infer, match, sequence, transform
+from rowloom.operators import align, infer, match, ml, sequence, transform
 from rowloom.plans.parser import parse
 from rowloom.rel import Rel
 from rowloom.session import Engine
@@ -158,6 +158,26 @@ def test_learners(engine, spark):
     assert sorted(run(engine, "SELECT x, guess FROM points CLASSIFIED WITH judge(guess) WHERE x IN (1, 30)")) == [(1.0, "lo"), (30.0, "hi")]
 
 
+def test_clusterer_takes_equal_rows_as_one_point(spark, monkeypatch):
+    seen = []
+
+    class Watched(ml.KMeans):
+        def fit(self, dataset):
+            seen.append((dataset.count(), dataset.rdd.getNumPartitions()))
+            return super().fit(dataset)
+
+    monkeypatch.setitem(ml.CLUSTERERS, "KMEANS", Watched)
+    df = spark.createDataFrame([(float(x), "ab"[x % 2]) for x in range(12)] * 50 + [(0.0, "a")] * 400, "x double, c string")
+    centers = [[list(v) for v in ml.train_clusterer(df.repartition(n), 3).model.stages[-1].clusterCenters()] for n in (1, 3, 7)]
+    assert seen == [(12, 1)] * 3
+    assert centers[0] == centers[1] == centers[2]
+    heavy = spark.createDataFrame([(0.0,)] * 9 + [(5.0,), (100.0,)], "x double")
+    assert sorted(v[0] for v in ml.train_clusterer(heavy, 2).model.stages[-1].clusterCenters()) == pytest.approx([0.5, 100.0])
+    monkeypatch.setattr(ml, "POINTS_IN_A_TASK", 5)
+    assert sorted(r["count"] for r in ml.cluster(df, ml.train_clusterer(df, 12), "k").groupBy("k").count().collect()) == [50] * 11 + [450]
+    assert seen[-1] == (12, 3)
+
+
 def test_compounds_are_ordered_and_cut_as_a_whole(engine):
     assert run(engine, "SELECT t FROM prices WHERE k = 'a' UNION SELECT 9 ORDER BY t DESC LIMIT 2") == [(9,), (4,)]
     assert run(engine, "VALUES (3), (1) UNION ALL VALUES (2) ORDER BY 1") == [(1,), (2,), (3,)]
