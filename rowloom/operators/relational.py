@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Of either side of a join without equal keys, so many bytes of its inputs (as the optimizer estimates) meet in one task; and the most pairs of blocks.
+BLOCK_BYTES, MOST_BLOCKS = 256 << 10, 10_000
+
 
 def distinct_on(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in the given order; Spark keeps one row a key before it shuffles (window group limit)."""
@@ -19,6 +24,36 @@ def natural_join(left: DataFrame, right: DataFrame, how: str = "inner") -> DataF
     return left.join(right, common, how)
 
 
+def _bytes(df: DataFrame) -> int:
+    """About how large a relation's inputs are; its rows are counted where Spark doesn't know. It decides numbers of tasks only, never results."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    found = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return found if found < 1 << 60 else df.count() * 16
+
+
+def theta_join(left: DataFrame, right: DataFrame, on: Column) -> DataFrame:
+    """An inner join without equal keys, by blocks.
+
+    Spark compares all pairs in as many tasks as one side has partitions. Here rows of both sides are dealt into blocks at random, and each pair of
+    blocks meets in one task, so that the number of tasks follows the number of pairs. Sides of one block are left to Spark.
+    """
+    a, b = (max(1, math.ceil(_bytes(df) / BLOCK_BYTES)) for df in (left, right))
+    if a * b == 1:
+        return left.join(right, on)
+    if a * b > MOST_BLOCKS:
+        part = math.sqrt(MOST_BLOCKS / (a * b))
+        a, b = (min(MOST_BLOCKS, max(1, int(n * part))) for n in (a, b))
+    tasks = max(a * b, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def dealt(df: DataFrame, own: int, other: int, key: str, place: Column) -> DataFrame:
+        found = df.withColumn("_own", F.floor(F.rand(7) * own).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(other - 1))))
+        return found.withColumn(key, place).drop("_own", "_other").repartition(tasks, key)
+
+    lefts = dealt(left, a, b, "_left_block", F.col("_own") * b + F.col("_other"))
+    rights = dealt(right, b, a, "_right_block", F.col("_other") * b + F.col("_own"))
+    return lefts.join(rights.hint("shuffle_hash"), (F.col("_left_block") == F.col("_right_block")) & on).drop("_left_block", "_right_block")
+
+
 def top(df: DataFrame, order: list[Column], limit: int | None = None, offset: int = 0) -> DataFrame:
     """Sort with limit and offset in one operator."""
     out = df.orderBy(*order)

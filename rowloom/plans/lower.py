@@ -108,7 +108,10 @@ class Lowering:
             return Scope(Rel(relational.natural_join(a.rel.df, b.rel.df, how)), names)
         if on[0] == "using":
             return Scope(Rel(a.rel.df.join(b.rel.df, on[1], how)), names)
-        return Scope(Rel(a.rel.df.join(b.rel.df, self.expression(on[1], Scope(a.rel, names)), how)), names)
+        condition = self.expression(on[1], Scope(a.rel, names))
+        if how == "inner" and not self.outer and not _may_have_keys(on[1]):
+            return Scope(Rel(relational.theta_join(a.rel.df, b.rel.df, condition)), names)
+        return Scope(Rel(a.rel.df.join(b.rel.df, condition, how)), names)
 
     def _align(self, left: Node, right: Node, distance: Node | None, margin: int | None) -> Scope:
         a, b = self.scope(left), self.scope(right)
@@ -577,6 +580,14 @@ def _has_aggregate(e) -> bool:
     return any(_has_aggregate(x) for x in e)
 
 
+def _may_have_keys(e: Node) -> bool:
+    """Whether one of the conditions that must all hold compares columns for equality, so that Spark can join by keys."""
+    if e[0] == "and":
+        return _may_have_keys(e[1]) or _may_have_keys(e[2])
+    equal = e[2:] if e[:2] == ("compare", "=") else e[1][1:] if e[0] == "not" and e[1][0] == "distinct" else None
+    return equal is not None and all(_columns(x) for x in equal)
+
+
 def _columns(e) -> list[Node]:
     if not isinstance(e, tuple | list):
         return []

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rowloom.operators import align, infer, match, ml, sequence, transform
+from rowloom.operators import align, infer, match, ml, relational, sequence, transform
 from rowloom.plans.parser import parse
 from rowloom.rel import Rel
 from rowloom.session import Engine
@@ -158,6 +158,23 @@ def test_learners(engine, spark):
     assert sorted(run(engine, "SELECT x, guess FROM points CLASSIFIED WITH judge(guess) WHERE x IN (1, 30)")) == [(1.0, "lo"), (30.0, "hi")]
 
 
+def test_joins_without_equal_keys_are_spread_over_blocks(engine, spark, monkeypatch):
+    engine.register("wide", spark.createDataFrame([(i, i % 7) for i in range(60)] + [(None, 3)], "x int, y int").coalesce(1))
+    engine.register("slim", spark.createDataFrame([(i, i % 5) for i in range(0, 90, 3)] + [(None, 1)], "u int, v int").coalesce(1))
+    text = "SELECT w.x, s.u FROM wide w JOIN slim s ON w.y > 2 AND w.x < s.u"
+    expected = sorted((x, u) for x in range(60) if x % 7 > 2 for u in range(0, 90, 3) if x < u)
+    twice = "SELECT a.x, b.x AS z, s.u FROM wide a JOIN wide b ON a.x < b.x AND b.x < 9 JOIN slim s ON s.u < a.x"
+    three = sorted((x, z, u) for z in range(9) for x in range(z) for u in range(0, 90, 3) if u < x)
+    assert sorted(run(engine, text)) == expected
+    for block, most in ((200, 10_000), (64, 6)):
+        monkeypatch.setattr(relational, "BLOCK_BYTES", block)
+        monkeypatch.setattr(relational, "MOST_BLOCKS", most)
+        assert sorted(run(engine, text)) == expected
+        assert engine.sql(text).rdd.getNumPartitions() >= 4
+        assert sorted(run(engine, twice)) == three
+        assert "_block" not in engine.sql("SELECT w.x FROM wide w JOIN slim s ON w.x = s.u AND w.y < s.v")._jdf.queryExecution().toString()
+
+
 def test_clusterer_takes_equal_rows_as_one_point(spark, monkeypatch):
     seen = []
 
